@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm import pieces, splits, term_counts, tokenizer
+from scriptorium.llm import leakage, pieces, pii, splits, term_counts, tokenizer
 from scriptorium.session import table
 
 #: Where the public vocabularies lie; every executor has them there.
@@ -64,4 +64,25 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenizer.encode_column(table(spark, d, "documents"), "text", ["doc_id"], f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_splits, p4_found, p4_spans, p4_text_pieces, p4_vector_pieces, p5_counts, p5_found, p8_ids)}
+def p9_leaks(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_passages"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return p9_leaks(spark, d).select("doc_id", "item_id")
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return pii.personal_data(table(spark, d, "documents"))
+
+
+def p10_masked(spark: SparkSession, d: str) -> DataFrame:
+    return pii.masked(table(spark, d, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        p1_found, p1_splits, p4_found, p4_spans, p4_text_pieces, p4_vector_pieces, p5_counts, p5_found, p8_ids, p9_found, p9_leaks, p10_found, p10_masked,
+    )
+}
