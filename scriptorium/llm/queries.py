@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm import leakage, pieces, pii, splits, term_counts, tokenizer
+from scriptorium.llm import leakage, pieces, pii, sentences, splits, term_counts, tokenizer
 from scriptorium.session import table
 
 #: Where the public vocabularies lie; every executor has them there.
@@ -60,6 +60,23 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return p5_counts(spark, d).where("mark is not null").select("src_table", "term", "mark")
 
 
+def _texts(spark: SparkSession, d: str) -> DataFrame:
+    """Bodies and reviews: (src_table, item_key, lang, origin, text)."""
+    parts = (("raw_docs", "raw_id", "doc"), ("reviews", "text_id", "reviews_txt"))
+    a, b = (table(spark, d, t).select(F.lit(t).alias("src_table"), F.col(k).cast("bigint").alias("item_key"), "lang", "origin", F.col(c).alias("text")) for t, k, c in parts)
+    return a.unionByName(b)
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    texts = _texts(spark, d)
+    return sentences.sentences(texts, texts.where("origin = 'keyed'")).select("src_table", "item_key", "sent_end").distinct()
+
+
+def p6_sentences(spark: SparkSession, d: str) -> DataFrame:
+    texts = _texts(spark, d)
+    return sentences.sentences(texts, texts).distinct()
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenizer.encode_column(table(spark, d, "documents"), "text", ["doc_id"], f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
 
@@ -83,6 +100,6 @@ def p10_masked(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p1_splits, p4_found, p4_spans, p4_text_pieces, p4_vector_pieces, p5_counts, p5_found, p8_ids, p9_found, p9_leaks, p10_found, p10_masked,
+        p1_found, p1_splits, p4_found, p4_spans, p4_text_pieces, p4_vector_pieces, p5_counts, p5_found, p6_found, p6_sentences, p8_ids, p9_found, p9_leaks, p10_found, p10_masked,
     )
 }
