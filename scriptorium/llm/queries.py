@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm import leakage, pieces, pii, sentences, splits, term_counts, tokenizer
+from scriptorium.llm import leakage, pieces, pii, scans, sentences, splits, term_counts, tokenizer
 from scriptorium.session import table
 
 #: Where the public vocabularies lie; every executor has them there.
@@ -77,6 +77,21 @@ def p6_sentences(spark: SparkSession, d: str) -> DataFrame:
     return sentences.sentences(texts, texts).distinct()
 
 
+def _scans(spark: SparkSession, d: str) -> DataFrame:
+    """Bodies and reviews with what a running header may repeat: (src_table, item_key, lang, origin, name, journal, text)."""
+    a = table(spark, d, "raw_docs").select(F.lit("raw_docs").alias("src_table"), F.col("raw_id").cast("bigint").alias("item_key"), "lang", "origin", F.col("file_name").alias("name"), F.lit(None).cast("string").alias("journal"), F.col("doc").alias("text"))
+    b = table(spark, d, "reviews").select(F.lit("reviews").alias("src_table"), F.col("text_id").cast("bigint").alias("item_key"), "lang", "origin", F.col("textfile").alias("name"), "journal", F.col("reviews_txt").alias("text"))
+    return a.unionByName(b)
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return scans.line_problems(_scans(spark, d))
+
+
+def p7_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    return scans.repaired(_scans(spark, d))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenizer.encode_column(table(spark, d, "documents"), "text", ["doc_id"], f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
 
@@ -100,6 +115,6 @@ def p10_masked(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p1_splits, p4_found, p4_spans, p4_text_pieces, p4_vector_pieces, p5_counts, p5_found, p6_found, p6_sentences, p8_ids, p9_found, p9_leaks, p10_found, p10_masked,
+        p1_found, p1_splits, p4_found, p4_spans, p4_text_pieces, p4_vector_pieces, p5_counts, p5_found, p6_found, p6_sentences, p7_found, p7_paragraphs, p8_ids, p9_found, p9_leaks, p10_found, p10_masked,
     )
 }
