@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm import leakage, pieces, pii, scans, sentences, splits, term_counts, tokenizer
+from scriptorium.llm import leakage, names, pieces, pii, scans, sentences, splits, term_counts, tokenizer
 from scriptorium.session import table
 
 #: Where the public vocabularies lie; every executor has them there.
@@ -24,6 +24,14 @@ def p1_splits(spark: SparkSession, d: str) -> DataFrame:
     return splits.grouped_splits(p1_grouped(spark, d), table(spark, d, "split_plan"))
 
 
+def p3_clusters(spark: SparkSession, d: str) -> DataFrame:
+    return names.variant_clusters(table(spark, d, "ger_texts_circulating_libs"))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return names.variant_pairs(p3_clusters(spark, d))
+
+
 def _spans(spark: SparkSession, d: str, name: str, key: str, content: str) -> DataFrame:
     limit, overlap = pieces.limits_of(table(spark, d, "size_limits"), name)
     return pieces.piece_spans(table(spark, d, name), key, content, name, limit, overlap)
@@ -115,6 +123,6 @@ def p10_masked(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p1_splits, p4_found, p4_spans, p4_text_pieces, p4_vector_pieces, p5_counts, p5_found, p6_found, p6_sentences, p7_found, p7_paragraphs, p8_ids, p9_found, p9_leaks, p10_found, p10_masked,
+        p1_found, p1_splits, p3_clusters, p3_found, p4_found, p4_spans, p4_text_pieces, p4_vector_pieces, p5_counts, p5_found, p6_found, p6_sentences, p7_found, p7_paragraphs, p8_ids, p9_found, p9_leaks, p10_found, p10_masked,
     )
 }
