@@ -1,6 +1,7 @@
 """Variant spellings of names typed by people (problem 3).
 
-Method: names become tf-idf vectors over character n-grams; a distributed sparse join finds the pairs whose cosine
+Method: names become tf-idf vectors over character n-grams, each gram of one part being taken together with the initial
+of the other part, so that people who share a surname share few grams, whatever the order of the parts; a distributed sparse join finds the pairs whose cosine
 reaches a threshold (of each name's grams, rarest first, only those are joined without which the threshold can't be
 reached, so that no pair is lost and no common gram meets itself); the pairs are compared part by part; average-linkage
 clustering groups what is alike enough. Clusters that are each other's best partner merge in each round, which gives
@@ -23,8 +24,8 @@ from pyspark.sql import functions as F
 from scriptorium.session import discard, materialize
 
 #: Least cosine of a pair that is compared, least average likeness of two clusters that merge.
-COSINE, LINKAGE = 0.3, 0.45
-GRAMS = (2, 3)
+COSINE, LINKAGE = 0.35, 0.45
+GRAM = 3
 
 # Short and pet forms of given names.
 SHORT_FORMS = """
@@ -176,18 +177,34 @@ def likeness(a: str, b: str) -> float:
     return best
 
 
+def name_grams(name: str) -> set[str]:
+    """Grams of a plain name: those of each part, with the initials that the other part's first word may have."""
+
+    def words(part: str) -> list[str]:
+        found = [w for w in re.split(r"[\W_]+", part) if w]
+        return [w for w in found if w not in PARTICLES] or found
+
+    def initials(ws: list[str]) -> set[str]:
+        return {w[0] for w in (ws[0], *_canon.get(ws[0], ()))} if ws else {"-"}
+
+    body = _body(name)
+    if body:
+        sides = [(body[2], {body[0][0]}), (body[1], {body[2][:1]})]
+    else:
+        first, _, second = name.partition("_")
+        x, y = words(first), words(second)
+        sides = [("".join(x), initials(y)), ("".join(y), initials(x))]
+    return {f"{w[k : k + GRAM]}|{i}" for part, ii in sides if part for w in [f"<{part}>"] for k in range(len(w) - GRAM + 1) for i in ii}
+
+
 def gram_vectors(names: DataFrame) -> DataFrame:
-    """(name, gram, weight) of unit length for names (name, plain). Grams of each word with marks at its ends, so that the
-    order of the words doesn't matter; weights are tf-idf over all names."""
+    """(name, gram, df, weight) of unit length for names (name, plain); weights are tf-idf over all names."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             where, grams = [], []
             for i, p in enumerate(batch.column(1).to_pylist()):
-                found = set()
-                for w in re.split(r"[\W_]+", p):
-                    w = f"<{w}>" if w else ""
-                    found |= {w[k : k + n] for n in GRAMS for k in range(len(w) - n + 1)}
+                found = sorted(name_grams(p))
                 where += [i] * len(found)
                 grams += found
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(where, pa.int64())), pa.array(grams, pa.string())], names=["name", "gram"])
@@ -200,36 +217,40 @@ def gram_vectors(names: DataFrame) -> DataFrame:
     return weighted.join(norm, "name").select("name", "gram", "df", (F.col("idf") / F.col("norm")).alias("weight"))
 
 
-def cosine_pairs(vectors: DataFrame, least: float = COSINE) -> DataFrame:
-    """(a, b, cosine) of all pairs with a < b whose cosine is at least ``least``; exact."""
+def alike_pairs(vectors: DataFrame, least: float = COSINE) -> DataFrame:
+    """(a, b, sim) of all pairs with a < b whose cosine is at least ``least`` and whose parts agree. The join meets every
+    pair of that cosine; parts are compared before the cosine is worked out, as few pairs survive the comparison."""
     entry = F.struct("df", "gram", "weight")
-    lists = vectors.groupBy("name").agg(F.array_sort(F.collect_list(entry)).alias("grams"))  # a name's own grams
-    lists = materialize(lists, "name-grams")
-    # grams before the place from which on the rest of the vector is too short to reach the threshold alone
+    lists = materialize(vectors.groupBy("name").agg(F.array_sort(F.collect_list(entry)).alias("grams")), "name-grams")  # a name's own grams
+    # the grams before the place from which on the rest of the vector is too short to reach the threshold alone
+    square = lambda g: g["weight"] * g["weight"]
     rest = F.aggregate(
         F.reverse("grams"), F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("n")),
-        lambda s, g: F.when(s["sum"] + g["weight"] * g["weight"] < least * least, F.struct((s["sum"] + g["weight"] * g["weight"]).alias("sum"), (s["n"] + 1).alias("n"))).otherwise(F.struct(F.lit(2.0).alias("sum"), s["n"].alias("n"))),
+        lambda s, g: F.when(s["sum"] + square(g) < least * least, F.struct((s["sum"] + square(g)).alias("sum"), (s["n"] + 1).alias("n"))).otherwise(F.struct(F.lit(2.0).alias("sum"), s["n"].alias("n"))),
     )["n"]
     prefix = lists.select("name", F.explode(F.slice("grams", 1, F.size("grams") - rest)).alias("g")).select("name", F.col("g.gram").alias("gram"))
     pairs = prefix.withColumnRenamed("name", "a").join(prefix.withColumnRenamed("name", "b"), "gram").where("a < b").select("a", "b").distinct()
-    slim = lists.select("name", F.map_from_arrays(F.transform("grams", lambda g: g["gram"]), F.transform("grams", lambda g: g["weight"])).alias("m"))
-    joined = pairs.join(slim.select(F.col("name").alias("a"), F.col("m").alias("ma")), "a").join(slim.select(F.col("name").alias("b"), F.col("m").alias("mb")), "b")
-    dot = F.aggregate(F.map_entries("ma"), F.lit(0.0), lambda s, e: s + e["value"] * F.coalesce(F.element_at(F.col("mb"), e["key"]), F.lit(0.0)))
-    return joined.select("a", "b", dot.alias("cosine")).where(F.col("cosine") >= least)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, str] = {}
 
-def _compared(pairs: DataFrame, names: DataFrame) -> DataFrame:
-    """(a, b, sim) of the pairs whose parts agree."""
-    of = names.select("name", "plain")
-    both = pairs.join(of.select(F.col("name").alias("a"), F.col("plain").alias("pa")), "a").join(of.select(F.col("name").alias("b"), F.col("plain").alias("pb")), "b")
+        def of(name: str) -> str:
+            if name not in known:
+                if len(known) > 200_000:
+                    known.clear()
+                known[name] = plain(name)
+            return known[name]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sims = [likeness(x, y) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            sims = [likeness(of(x), of(y)) for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
             out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sims, pa.float64())], names=["a", "b", "sim"])
             yield out.filter(pa.array([s > 0 for s in sims], pa.bool_()))
 
-    return both.select("a", "b", "pa", "pb").mapInArrow(run, "a string, b string, sim double")
+    agreeing = materialize(pairs.mapInArrow(run, "a string, b string, sim double"), "agreeing")
+    slim = lists.select("name", F.map_from_arrays(F.transform("grams", lambda g: g["gram"]), F.transform("grams", lambda g: g["weight"])).alias("m"))
+    joined = agreeing.join(slim.select(F.col("name").alias("a"), F.col("m").alias("ma")), "a").join(slim.select(F.col("name").alias("b"), F.col("m").alias("mb")), "b")
+    dot = F.aggregate(F.map_entries("ma"), F.lit(0.0), lambda s, e: s + e["value"] * F.coalesce(F.element_at(F.col("mb"), e["key"]), F.lit(0.0)))
+    return joined.where(dot >= least).select("a", "b", "sim")
 
 
 def average_linkage(pairs: DataFrame, least: float = LINKAGE, max_rounds: int = 60) -> DataFrame:
@@ -265,8 +286,7 @@ def variant_clusters(table: DataFrame, file_name: str = "file_name") -> DataFram
     name = F.substring_index(F.col(file_name), "_", 2)
     spelt = F.pandas_udf(lambda s: s.map(plain), "string")
     names = materialize(table.select(name.alias("name")).where("name <> '' and name <> '_'").distinct().withColumn("plain", spelt("name")), "names")
-    pairs = materialize(_compared(cosine_pairs(gram_vectors(names)), names), "name-pairs")
-    return average_linkage(pairs)
+    return average_linkage(materialize(alike_pairs(gram_vectors(names)), "name-pairs"))
 
 
 def variant_pairs(clusters: DataFrame) -> DataFrame:
