@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm import leakage, names, pieces, pii, scans, sentences, splits, term_counts, tokenizer
+from scriptorium.llm import leakage, names, neighbours, pieces, pii, scans, sentences, splits, term_counts, tokenizer
 from scriptorium.session import table
 
 #: Where the public vocabularies lie; every executor has them there.
@@ -24,6 +24,15 @@ def p1_splits(spark: SparkSession, d: str) -> DataFrame:
     return splits.grouped_splits(p1_grouped(spark, d), table(spark, d, "split_plan"))
 
 
+def _vectors(spark: SparkSession, d: str) -> DataFrame:
+    parts = (("chunk", "doc2vec_chunk_embedding"), ("chunk_features", "average_sentence_embedding"))
+    return neighbours.vector_table([(table(spark, d, t), "chunk_key", c) for t, c in parts])
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return neighbours.nearest_pairs(_vectors(spark, d))
+
+
 def p3_clusters(spark: SparkSession, d: str) -> DataFrame:
     return names.variant_clusters(table(spark, d, "ger_texts_circulating_libs"))
 
@@ -123,6 +132,6 @@ def p10_masked(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p1_splits, p3_clusters, p3_found, p4_found, p4_spans, p4_text_pieces, p4_vector_pieces, p5_counts, p5_found, p6_found, p6_sentences, p7_found, p7_paragraphs, p8_ids, p9_found, p9_leaks, p10_found, p10_masked,
+        p1_found, p1_splits, p2_found, p3_clusters, p3_found, p4_found, p4_spans, p4_text_pieces, p4_vector_pieces, p5_counts, p5_found, p6_found, p6_sentences, p7_found, p7_paragraphs, p8_ids, p9_found, p9_leaks, p10_found, p10_masked,
     )
 }
