@@ -143,7 +143,13 @@ class ItemIndex:
                 after = self.postings[cursors[pivot + 1][1]][cursors[pivot + 1][0]][0] if pivot + 1 < len(cursors) else None
                 target = (block + 1) * BLOCK if after is None else min((block + 1) * BLOCK, max(after, item + 1))
             else:
-                score = sum(p[at][1] for at, t in cursors if (p := self.postings[t])[at][0] == item)
+                score = 0.0
+                for c in cursors[: pivot + 1]:
+                    p = self.postings[c[1]]
+                    while c[0] < len(p) and p[c[0]][0] < item:
+                        c[0] += 1
+                    if c[0] < len(p) and p[c[0]][0] == item:
+                        score += p[c[0]][1]
                 if score >= least:
                     out[item] = score
                 target = item + 1
