@@ -254,3 +254,47 @@ def nearest_pairs(vectors: DataFrame, k: int = K) -> DataFrame:
     top = first.unionByName(beyond).select("field", "key", F.slice(F.filter("near", lambda e: e["other"] != F.col("key")), 1, k).alias("near"))
     pairs = top.select(F.col("field").alias("vec_field"), "key", F.explode("near.other").alias("other"))
     return pairs.select("vec_field", F.least("key", "other").alias("key_a"), F.greatest("key", "other").alias("key_b")).distinct()
+
+
+#: Nodes of a leaf at which a search starts, candidates it keeps, and steps it takes at most.
+ENTRIES, BEAM, STEPS = 3, 24, 12
+
+
+def _to_queries(pairs: DataFrame, nodes: DataFrame, queries: DataFrame) -> DataFrame:
+    """(field, q, other, d, done) for pairs (field, q, other)."""
+    x, y = queries.select("field", F.col("key").alias("q"), F.col("vec").alias("vq")), nodes.select("field", F.col("key").alias("other"), F.col("vec").alias("vo"))
+    both = pairs.join(x, ["field", "q"]).join(y, ["field", "other"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            va, vb = batch.column(3).to_pylist(), batch.column(4).to_pylist()
+            d = [float(((np.frombuffer(a, np.float32).astype(np.float64) - np.frombuffer(b, np.float32)) ** 2).sum()) for a, b in zip(va, vb)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(d, pa.float64()), pa.array([False] * len(d), pa.bool_())], names=["field", "q", "other", "d", "done"])
+
+    return both.select("field", "q", "other", "vq", "vo").mapInArrow(run, "field string, q bigint, other bigint, d double, done boolean")
+
+
+def search(index: tuple[DataFrame, DataFrame, dict], queries: DataFrame, k: int = K) -> DataFrame:
+    """(field, q, other, d): for each query vector (field, key, vec) the k nearest nodes of ``neighbour_graph`` that a greedy
+    walk finds: from a few nodes of the query's leaves to neighbours, always keeping the BEAM nearest, until all of those
+    have passed on their neighbours. A step is a join for all queries at once."""
+    nodes, graph, trees = index
+    placed = materialize(_with_leaves(queries.dropDuplicates(["field", "key"]), queries.sparkSession.sparkContext.broadcast(trees)), "queries")
+    doors = nodes.select("field", "key", F.explode("leaves").alias("leaf")).groupBy("field", "leaf").agg(F.slice(F.array_sort(F.collect_set("key")), 1, ENTRIES).alias("doors"))
+    first = placed.select("field", F.col("key").alias("q"), F.explode("leaves").alias("leaf")).join(doors, ["field", "leaf"]).select("field", "q", F.explode("doors").alias("other")).distinct()
+    near = graph.select("field", F.col("key").alias("at"), F.explode("near.other").alias("other"))
+    state = materialize(_to_queries(first, nodes, placed), "search")
+    entry = F.struct("d", "other", "done")
+    for _ in range(STEPS):
+        best = materialize(state.groupBy("field", "q").agg(F.slice(F.array_sort(F.collect_list(entry)), 1, BEAM).alias("b")).select("field", "q", F.explode("b").alias("e")).select("field", "q", "e.other", "e.d", "e.done"), "search")
+        discard(state)
+        state = best
+        reached = best.where("not done").select("field", "q", F.col("other").alias("at")).join(near, ["field", "at"]).select("field", "q", "other").distinct()
+        new = reached.join(best.select("field", "q", "other"), ["field", "q", "other"], "left_anti")
+        grown = materialize(best.withColumn("done", F.lit(True)).unionByName(_to_queries(new, nodes, placed)), "search")
+        discard(best)
+        state = grown
+        if state.where("not done").isEmpty():
+            break
+    top = state.groupBy("field", "q").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "other"))), 1, k).alias("b"))
+    return top.select("field", "q", F.explode("b").alias("e")).select("field", "q", "e.other", "e.d")

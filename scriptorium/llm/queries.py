@@ -33,6 +33,13 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return neighbours.nearest_pairs(_vectors(spark, d))
 
 
+def p2_search(spark: SparkSession, d: str) -> DataFrame:
+    """The nearest nodes of every vector whose key is divisible by 100, by greedy search."""
+    vectors = _vectors(spark, d)
+    index = neighbours.neighbour_graph(vectors)
+    return neighbours.search(index, vectors.where("key % 100 = 0"), neighbours.K + 1).where("q <> other")
+
+
 def p3_clusters(spark: SparkSession, d: str) -> DataFrame:
     return names.variant_clusters(table(spark, d, "ger_texts_circulating_libs"))
 
@@ -132,6 +139,6 @@ def p10_masked(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p1_splits, p2_found, p3_clusters, p3_found, p4_found, p4_spans, p4_text_pieces, p4_vector_pieces, p5_counts, p5_found, p6_found, p6_sentences, p7_found, p7_paragraphs, p8_ids, p9_found, p9_leaks, p10_found, p10_masked,
+        p1_found, p1_splits, p2_found, p2_search, p3_clusters, p3_found, p4_found, p4_spans, p4_text_pieces, p4_vector_pieces, p5_counts, p5_found, p6_found, p6_sentences, p7_found, p7_paragraphs, p8_ids, p9_found, p9_leaks, p10_found, p10_masked,
     )
 }

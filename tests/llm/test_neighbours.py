@@ -44,3 +44,17 @@ def test_recall_over_several_leaves(spark, monkeypatch):
 def test_tree_cuts_equal_vectors():
     t = neighbours.Tree(np.ones((100, 3), np.float32), 10, 1)
     assert t.leaves >= 4
+
+
+def test_greedy_search(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "LEAF", 60)
+    rng = np.random.default_rng(5)
+    centers = rng.standard_normal((30, 12)) * 2
+    rows = [(i, (centers[i % 30] + 0.2 * rng.standard_normal(12)).tolist()) for i in range(900)]
+    table = neighbours.vector_table([(spark.createDataFrame(rows, "key bigint, v array<float>"), "key", "v")])
+    got: dict[int, set] = {}
+    for r in neighbours.search(neighbours.neighbour_graph(table), table.where("key % 50 = 0"), 5).collect():
+        got.setdefault(r.q, set()).add(r.other)
+    x = np.array([v for _, v in rows], np.float32).astype(float)
+    hits = sum(len(got[q] & set(np.argsort(((x - x[q]) ** 2).sum(axis=1), kind="stable")[:5].tolist())) for q in range(0, 900, 50))
+    assert hits / (18 * 5) >= 0.9
