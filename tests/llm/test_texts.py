@@ -204,3 +204,12 @@ def test_personal_data(spark):
 def test_vote_reliabilities():
     got = pii.reliabilities([((1, 1, 1, 0, 0), 500), ((1, 0, 0, 0, -1), 300), ((1, 0, 1, 0, 0), 20)])
     assert got[(1, 1, 1, 0, 0)] > 0.95 and got[(1, 0, 0, 0, -1)] < 0.05
+
+
+def test_languages_in_blocks(spark, monkeypatch):
+    page = "Das alte Haus sah den Garten.\nDie Ernte war gut.\n17\nDas alte Haus sah den Garten. Die Ernte war gut."
+    rows = [("reviews", i, lang, "keyed", None, None, page) for i, lang in enumerate(("de", "en", "fr", "xx"))]
+    df = spark.createDataFrame(rows, "src_table string, item_key bigint, lang string, origin string, name string, journal string, text string")
+    whole = sorted(map(tuple, scans.line_problems(df).collect()))
+    monkeypatch.setattr(scans, "LANGUAGES", 2)
+    assert sorted(map(tuple, scans.line_problems(df).collect())) == whole and len(whole) == 4
