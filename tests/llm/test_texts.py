@@ -213,3 +213,9 @@ def test_languages_in_blocks(spark, monkeypatch):
     whole = sorted(map(tuple, scans.line_problems(df).collect()))
     monkeypatch.setattr(scans, "LANGUAGES", 2)
     assert sorted(map(tuple, scans.line_problems(df).collect())) == whole and len(whole) == 4
+
+
+def test_abbreviation_before_abbreviation():
+    m = sentences.Model([("de", "A", "sog", ""), ("de", "A", "st", ""), ("de", "A", "hrn", ""), ("de", "A", "prof", ""), ("de", "S", "Das", ""), ("de", "S", "Prof", "")])
+    text = "Die sog. St.-Moll-Chronik fiel. Nach Hrn. Prof. Rau ging es. Das war so."
+    assert [text[:e].rsplit(" ", 1)[-1] for e in sentences.sentence_ends(text, "de", m)] == ["fiel.", "es.", "so."]
