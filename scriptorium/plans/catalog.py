@@ -11,7 +11,7 @@ from scriptorium.functions import text as tx
 from scriptorium.functions import vectors as vx
 from scriptorium.operators import chunks, corpus, describe, features, folds, geometry, labels, metrics, models, ngrams, sentiment, stylometry
 from scriptorium.plans import sqlparts as sq
-from scriptorium.session import table
+from scriptorium.session import spread, table
 
 SIZE, KEYS = sq.SIZE, ["doc_id"]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,7 +39,7 @@ def r6(df: DataFrame, *names: str) -> DataFrame:
 
 
 def docs(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents")
+    return spread(table(spark, d, "documents").select("doc_id", "text", "lang", "source", "genre", "pub_year"))
 
 
 def doc_chunks(spark: SparkSession, d: str) -> DataFrame:
