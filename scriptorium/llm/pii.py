@@ -41,13 +41,14 @@ Richard Rike Robert Rosalie Rosa Rowan Rudolf Sarah Sebastian Sophie Susanne The
 Valentin Veit Veronika Victor Walburga Walter Wilhelm Wilhelmine William
 """.split()
 TITLES = r"(?:Frau|Herrn?|Fräulein|Frl\.|Hrn\.|Dr\.|Prof\.|Mrs\.|Mr\.|Miss|Ms\.|Rev\.|Mme|Mlle|M\.|Madame|Monsieur)"
+NAME_PHRASES = rf"(?:liegt bei|von {TITLES}|erbittet|Leserin,|Leser,|by|rests with|sent to|named|nommée?|faite par|chez|Écrire à|lectrice,|lecteur,|Einsenderin?,)"
 # What stands before and behind personal data in letters and notices, and labels of other numbers.
 BEFORE = {
     "email": r"(?:\b(?:an|oder|or|ou par|to|à|unter|at|mail|e-mail)[ :]*|\n)$",
     "phone": r"(?:\b(?:Tel(?:efon)?\.?:?|phone|tél\.?|téléphone|rufe|call|appeler(?: le)?|unter|answers at|lecteur au|Fon:?|oder|or)[ :]*|\n)$",
     "id_number": r"\b(?:Ausweis|Pass|Passport|insurance number is|Steuer-Nr\. der Erbin:|Steuer-Nr\.:?|tax number is|Numéro de sécurité|porte le numéro|identity (?:card|number)(?: is)?|Nr\. der Versicherung:?)[ :]*$",
     "street_address": r"(?:\b(?:Anschrift|in der|im|at|lives at|domicile|au|à|address|adresse|Knock at)[ :]*|,\s+|\n)$",
-    "name": rf"(?:\b(?:liegt bei|von {TITLES}|erbittet|Leserin,|Leser,|by|rests with|sent to|named|nommée?|faite par|chez|Écrire à|lectrice,|lecteur,|Einsenderin?,)(?: {TITLES})*\s+|{TITLES}\s+)$",
+    "name": rf"(?:\b{NAME_PHRASES}(?: {TITLES})*\s+|{TITLES}\s+)$",
 }
 BEHIND = {
     "email": r"^(?: zu erreichen|\.?(?:\s|$)|\s*please)",
@@ -83,7 +84,7 @@ STREET = re.compile(
 )
 NAME = re.compile(rf"(?<![\w@.-]){_given}(?:-{_given})*{_between} (?!(?:{TITLES})){_cap}(?![\w@])")
 INVERTED = re.compile(rf"(?<![\w@.-]){_cap}, {_given}(?:-{_given})*(?: [{_upper}]\.)*(?: von(?= ?[\n(,.]))?(?![\w@])")
-LABELLED_NAME = re.compile(BEFORE["name"][3:-2].split(f"|{TITLES}")[0] + rf"(?: {TITLES})* (?P<v>{_cap}(?:{_between} |, ){_cap})(?![\w@])")
+LABELLED_NAME = re.compile(rf"(?:\b{NAME_PHRASES}(?: {TITLES})*|(?<!\w){TITLES})\s+(?P<v>(?!{TITLES}(?!\w)){_cap}(?:{_between} |, )(?!{TITLES}(?!\w)){_cap})(?![\w@])")
 _digit_run = re.compile(r"\d")
 _ordinary = re.compile(r"^(?:D(?:er|ie|as|en|em)|Ein|The|An|Le|La|Les|Un|Une|Kapitel|Buch|Chapter|Chapitre|Livre|Part|In|At|On|And|Und|Et|His|Her|That|Their)$")
 _before = {t: re.compile(p) for t, p in BEFORE.items()}
@@ -172,9 +173,10 @@ def _candidates(docs: DataFrame, key: str) -> DataFrame:
     return docs.mapInArrow(run, f"`{key}` {kind}, pii_type string, pii_text string, votes array<int>, features array<int>")
 
 
-def reliabilities(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 60) -> dict[tuple[int, ...], float]:
+def reliabilities(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 60, judged: list[tuple[int, ...]] = ()) -> dict[tuple[int, ...], float]:
     """Probability of a true case by vote pattern, by expectation-maximisation over pattern counts. Labelers are taken as
-    independent given the truth. The start is a vote count, so that the labelers' majority names the classes."""
+    independent given the truth. The start is a vote count, so that the labelers' majority names the classes. The patterns
+    ``judged`` take no part in the estimation; a labeler without vote says nothing of them."""
     votes = np.array([p for p, _ in patterns], int)
     n = np.array([c for _, c in patterns], float)
     q = np.clip(0.5 + 0.2 * (votes.sum(axis=1) - 1.5), 0.05, 0.95)
@@ -188,7 +190,16 @@ def reliabilities(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 60)
                     toward = 3.0 if (v == 1) == (y == 1) else 1.0
                     like[at, y] += np.log((w[at].sum() + toward) / (w.sum() + 5.0))
         q = 1 / (1 + np.exp(like[:, 0] - like[:, 1]))
-    return {p: float(x) for (p, _), x in zip(patterns, q)}
+    out = {p: float(x) for (p, _), x in zip(patterns, q)}
+    for p in judged:
+        odds = np.log(prior / (1 - prior))
+        for j, v in enumerate(p):
+            if v:
+                at = votes[:, j] == v
+                for sign, y, w in ((-1, 0, (1 - q) * n), (1, 1, q * n)):
+                    odds += sign * np.log((w[at].sum() + (3.0 if (v == 1) == (y == 1) else 1.0)) / (w.sum() + 5.0))
+        out[p] = float(1 / (1 + np.exp(-odds)))
+    return out
 
 
 def fit(candidates: DataFrame) -> np.ndarray:
@@ -197,7 +208,9 @@ def fit(candidates: DataFrame) -> np.ndarray:
     truth = {}
     for t in TYPES:
         own = [(tuple(r.votes), r["count"]) for r in counts if r.pii_type == t]
-        truth |= {(t, p): x for p, x in reliabilities(sorted(own)).items()} if own else {}
+        # names that only their context proposes are judged by what the listed ones tell of the labelers
+        judged = sorted(p for p, _ in own if t == "name" and p[0] == 0 and any(x[0] for x, _ in own))
+        truth |= {(t, p): x for p, x in reliabilities(sorted(x for x in own if x[0] not in judged), judged=judged).items()} if own else {}
     total = sum(r["count"] for r in counts)
     chosen = candidates if total <= SAMPLE else candidates.where(F.pmod(F.xxhash64(*candidates.columns), F.lit(1 << 20)) < int((1 << 20) * 0.95 * SAMPLE / total))
     rows = chosen.groupBy("pii_type", "votes", "features").count().limit(SAMPLE).collect()

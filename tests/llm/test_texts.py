@@ -219,3 +219,21 @@ def test_abbreviation_before_abbreviation():
     m = sentences.Model([("de", "A", "sog", ""), ("de", "A", "st", ""), ("de", "A", "hrn", ""), ("de", "A", "prof", ""), ("de", "S", "Das", ""), ("de", "S", "Prof", "")])
     text = "Die sog. St.-Moll-Chronik fiel. Nach Hrn. Prof. Rau ging es. Das war so."
     assert [text[:e].rsplit(" ", 1)[-1] for e in sentences.sentence_ends(text, "de", m)] == ["fiel.", "es.", "so."]
+
+
+def test_names_found_by_their_context(spark):
+    listed, other = ["August Dronnis", "Clara Roemag", "Paul Krolfav"], ["Xaver Huber", "Zdenka Roemag", "Quirin von Rellau"]
+    rows = []
+    for i in range(120):
+        p, q = listed[i % 3], other[i % 3]
+        rows.append((i, f"Antwort erbittet {p}. Das Exemplar liegt bei {q} (Tel.: 020 7946 0{i:03d}). Signed by Mr. {p}. A letter sent to Mrs. {q} (Tel.: 030 7946 0{i:03d}). Dann ging Frau Dr. {q}. Der Alte Turm stand."))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {(r.doc_id, r.pii_text) for r in pii.personal_data(df).where("pii_type = 'name'").collect()}
+    assert got == {(i, p) for i in range(120) for p in (listed[i % 3], other[i % 3])}
+    assert not any(q in r.text for r in pii.masked(df).collect() for q in [*listed, *other])
+
+
+@pytest.mark.parametrize("text", ["Signed by {}.", "Signed by Mr. {}.", "liegt bei Frau Dr. {}", "Dann ging Frau {}.", "faite par\n{}"])
+def test_context_proposes_unlisted_names(text):
+    spans = [text.format("Xaver Huber")[a:b] for a, b, kind, *_ in pii.spans(text.format("Xaver Huber")) if kind == "name"]
+    assert spans == ["Xaver Huber"]
