@@ -36,6 +36,19 @@ def tokens(c: Column) -> Column:
     return F.filter(F.split(c, " "), lambda x: x != "")
 
 
+#: The commonest words of the languages in Latin script, by which a missing language code is told.
+COMMON = {"en": ["the", "a", "and", "of", "that", "his", "her", "their"], "de": ["der", "die", "das", "und", "den", "dem", "mit"], "fr": ["le", "la", "et", "les", "un", "une", "l", "que", "dans"]}
+
+
+def is_english(lang: Column, words: Column) -> Column:
+    """Whether a text is English: by its code, in whatever way it is written, and without a code by its commonest words."""
+    code = F.element_at(F.split(F.lower(F.trim(lang)), "[-_]"), 1)
+    count = lambda common: F.size(F.filter(words, lambda x: x.isin(common)))
+    n = {k: count(v) for k, v in COMMON.items()}
+    told = (n["en"] > n["de"]) & (n["en"] > n["fr"])
+    return F.when(code.isNull() | code.isin("", "und"), told).otherwise(code.isin("en", "eng", "english"))
+
+
 def sentences(c: Column, least: int = 4) -> Column:
     """Trimmed sentences of at least ``least`` characters, cut after . ! ? and blanks. An array in text order."""
     cut = F.split(F.regexp_replace(collapsed(c), r"([.!?]) +", "$1\n"), "\n")

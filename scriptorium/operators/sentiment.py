@@ -11,6 +11,12 @@ from pyspark.sql import functions as F
 from scriptorium.functions import text as tx
 from scriptorium.functions import vectors as vx
 
+# Evaluative words around which a lexicon is built.
+POSITIVE = """excellent admirable estimable exemplary invaluable incomparable superb outstanding wonderful perfect superior worthy
+fine exceptional skillful masterful extraordinary impressive notable noteworthy""".split()
+NEGATIVE = """terrible grievous hideous ghastly disgusting unfavourable disagreeable distasteful error fault unpleasant imprudent
+unlikely undesirable unreasonable absurd offensive unsuitable questionable disconcerting""".split()
+
 
 def alpha_words(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """(key, pos, word): lower-case words of letters, in order."""
@@ -43,6 +49,12 @@ def similar_words(vectors: DataFrame, seeds: list[str], n: int) -> DataFrame:
     return near.withColumn("rank", rank).where(F.col("rank") <= n).select("seed", "word", "cosine")
 
 
+def seeds_and_neighbours(vectors: DataFrame, seeds: list[str], n: int) -> DataFrame:
+    """(word, vector) of the seed words that have a vector and of the n words most similar to each."""
+    near = similar_words(vectors, seeds, n).select("word").union(vectors.where(F.col("word").isin(seeds)).select("word")).distinct()
+    return vectors.join(near, "word", "left_semi").select("word", "vector")
+
+
 def affinity_clusters(points: pd.DataFrame, damping: float = 0.5, rounds: int = 200, preference: float | None = None) -> pd.DataFrame:
     """(word, cluster, exemplar) of at most a few thousand seed words (word, vector) by affinity propagation."""
     x = np.array(points["vector"].tolist(), float)

@@ -11,7 +11,7 @@ from scriptorium.functions import text as tx
 from scriptorium.functions import vectors as vx
 from scriptorium.operators import chunks, corpus, describe, features, folds, geometry, labels, metrics, models, ngrams, sentiment, stylometry
 from scriptorium.plans import sqlparts as sq
-from scriptorium.session import spread, table
+from scriptorium.session import materialize, spread, table
 
 SIZE, KEYS = sq.SIZE, ["doc_id"]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -419,11 +419,20 @@ def precision_recall(spark, d):
     return r6(sentiment.rates(sentiment.confusion(_gold(spark, d), "class", "score")), "recall", "precision", "accuracy")
 
 
+def _english(spark, d):
+    """English documents (doc_id, genre, words), however the language is written."""
+    t = docs(spark, d).where("text is not null").select("doc_id", "genre", "lang", tx.tokens(tx.normalised(F.col("text"))).alias("words"))
+    return t.where(tx.is_english(F.col("lang"), F.col("words"))).select("doc_id", "genre", "words")
+
+
+def _english_vectors(spark, d):
+    rows = materialize(_english(spark, d), "english")  # training reads it more than once
+    return rows, materialize(_plain_vectors(sentiment.word_vectors(rows, size=300, min_count=5).getVectors()), "word-vectors")
+
+
 @query()
 def word2vec_neighbours(spark, d):
-    rows = docs(spark, d).where("lang = 'en' and text is not null").select(tx.tokens(tx.normalised(F.col("text"))).alias("words"))
-    vectors = sentiment.word_vectors(rows, size=16, min_count=20).getVectors()
-    return sentiment.similar_words(_plain_vectors(vectors), ["garden", "tower", "letter"], 5)
+    return sentiment.similar_words(_english_vectors(spark, d)[1], ["garden", "tower", "letter"], 5)
 
 
 def _plain_vectors(v: DataFrame) -> DataFrame:
@@ -432,12 +441,22 @@ def _plain_vectors(v: DataFrame) -> DataFrame:
     return v.select("word", vector_to_array("vector").alias("vector"))
 
 
+def _evaluative(rows: DataFrame) -> DataFrame:
+    """(word): the 10,000 commonest adjectives and nouns of reviews that are typical of them, without stop words."""
+    words = rows.select("genre", F.explode("words").alias("word"))
+    freq = lambda genre: ngrams.relative_frequency(words.where(F.col("genre") == genre).select("word"))
+    typical = sentiment.typical_words(freq("review"), freq("prose"))
+    tagged = words.where("genre = 'review'").where(corpus.tag_of(F.col("word")).isin("ADJ", "NOUN"))
+    counts = sentiment.without_stopwords(tagged).join(typical.select("word"), "word", "left_semi").groupBy("word").agg(F.count(F.lit(1)).alias("cnt"))
+    return ngrams.top(counts, 10000, "word").select("word")
+
+
 @query()
 def affinity_clusters(spark, d):
-    rows = docs(spark, d).where("lang = 'en' and text is not null").select(tx.tokens(tx.normalised(F.col("text"))).alias("words"))
-    vectors = _plain_vectors(sentiment.word_vectors(rows, size=16, min_count=50).getVectors())
-    few = vectors.orderBy("word").limit(300).toPandas()  # the seed words of a lexicon, a few hundred by nature
-    return sentiment.cluster_words(spark.createDataFrame(sentiment.affinity_clusters(few), "word string, cluster bigint, exemplar string"))
+    rows, vectors = _english_vectors(spark, d)
+    seeds = sentiment.seeds_and_neighbours(vectors, [*sentiment.POSITIVE, *sentiment.NEGATIVE, *POLARITY], 2)
+    chosen = seeds.join(_evaluative(rows), "word", "left_semi").orderBy("word").toPandas()  # at most three times the seeds given
+    return sentiment.cluster_words(spark.createDataFrame(sentiment.affinity_clusters(chosen), "word string, cluster bigint, exemplar string"))
 
 
 # Labels and data sets

@@ -126,3 +126,24 @@ def test_affinity_clusters():
 def test_combined(spark):
     df = spark.createDataFrame([("positive", 1.0, 3.0), ("negative", 1.0, 3.0), ("not_classified", 1.0, 3.0), ("odd", 1.0, 3.0)], "c string, p double, l double")
     assert [r[0] for r in df.select(labels.combined_score(F.col("c"), F.col("p"), F.col("l"))).collect()] == [1.0, 3.0, 2.0, None]
+
+
+def test_words_of_english_however_written(spark):
+    from scriptorium.functions import text as tx
+
+    rows = [("en", "x"), ("EN", "x"), ("eng", "x"), ("en-GB", "x"), (None, "the end of the day"), ("", "that and the other"), ("de", "the end of"), (None, "das Ende der Zeit"), (None, "x")]
+    df = spark.createDataFrame(rows, "lang string, text string").select("lang", tx.tokens(tx.normalised(F.col("text"))).alias("words"))
+    assert [bool(r[0]) for r in df.select(tx.is_english(F.col("lang"), F.col("words"))).collect()] == [True] * 6 + [False] * 3
+
+
+def test_affinity_takes_seeds_and_neighbours(spark, tmp_path):
+    from scriptorium.plans import catalog
+
+    # over 300 words sort before the seeds, in texts whose language is written in several ways
+    filler = [f"aa{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(330)]
+    rows = [(i, f"a worthy tale with fine wit and terrible tedium {' '.join(filler[i % 11 :: 11])}", ["EN", "eng", "en-GB"][i % 3], "s", "review", 1800) for i in range(66)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, genre string, pub_year int")
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    words = {w for r in catalog.affinity_clusters(spark, str(tmp_path)).collect() for w in r.words.split()}
+    seeds = {"worthy", "fine", "wit", "terrible", "tedium"}
+    assert seeds <= words and len(words) <= 3 * len(seeds)
