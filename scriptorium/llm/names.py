@@ -253,13 +253,13 @@ def alike_pairs(vectors: DataFrame, least: float = COSINE) -> DataFrame:
     return joined.where(dot >= least).select("a", "b", "sim")
 
 
-def average_linkage(pairs: DataFrame, least: float = LINKAGE, max_rounds: int = 60) -> DataFrame:
+def average_linkage(pairs: DataFrame, least: float = LINKAGE) -> DataFrame:
     """(name, cluster): average-linkage clusters of the pairs (a, b, sim), pairs that are missing being 0 alike. Each round
     merges all clusters that are each other's best partner; since average linkage never raises a likeness by a merger,
     this gives the same clusters as merging one pair at a time."""
     members = pairs.select(F.col("a").alias("name")).union(pairs.select("b")).distinct().withColumn("cluster", F.col("name"))
     members, links = materialize(members, "members"), materialize(pairs.groupBy("a", "b").agg(F.max("sim").alias("total")), "links")
-    for _ in range(max_rounds):
+    while True:  # each round merges a pair at least
         sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
         rated = (
             links.join(sizes.select(F.col("cluster").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("cluster").alias("b"), F.col("n").alias("nb")), "b")

@@ -53,3 +53,11 @@ def test_average_linkage(spark):
     # one best pair merges first; the third then averages 0.45 with it
     assert got["a"] == got["b"] and got["d"] in ("c", "d", "a")
     assert len(set(got.values())) <= 2
+
+
+def test_average_linkage_of_many_spellings(spark):
+    # one right spelling and 62 typos of it: a typo joins in each round
+    some = [f"n{i:02d}" for i in range(63)]
+    pairs = spark.createDataFrame([(a, b, 0.9 if a == "n00" else 0.75) for i, a in enumerate(some) for b in some[i + 1 :]], "a string, b string, sim double")
+    got = {r.name: r.cluster for r in names.average_linkage(pairs).collect()}
+    assert set(got) == set(some) and len(set(got.values())) == 1
