@@ -256,8 +256,8 @@ def nearest_pairs(vectors: DataFrame, k: int = K) -> DataFrame:
     return pairs.select("vec_field", F.least("key", "other").alias("key_a"), F.greatest("key", "other").alias("key_b")).distinct()
 
 
-#: Nodes of a leaf at which a search starts, candidates it keeps, and steps it takes at most.
-ENTRIES, BEAM, STEPS = 3, 24, 12
+#: Nodes of a leaf at which a search starts, and candidates it keeps.
+ENTRIES, BEAM = 3, 24
 
 
 def _to_queries(pairs: DataFrame, nodes: DataFrame, queries: DataFrame) -> DataFrame:
@@ -285,7 +285,7 @@ def search(index: tuple[DataFrame, DataFrame, dict], queries: DataFrame, k: int
     near = graph.select("field", F.col("key").alias("at"), F.explode("near.other").alias("other"))
     state = materialize(_to_queries(first, nodes, placed), "search")
     entry = F.struct("d", "other", "done")
-    for _ in range(STEPS):
+    while True:  # the kept candidates get nearer in each step or end the walk
         best = materialize(state.groupBy("field", "q").agg(F.slice(F.array_sort(F.collect_list(entry)), 1, BEAM).alias("b")).select("field", "q", F.explode("b").alias("e")).select("field", "q", "e.other", "e.d", "e.done"), "search")
         discard(state)
         state = best
@@ -298,3 +298,12 @@ def search(index: tuple[DataFrame, DataFrame, dict], queries: DataFrame, k: int
             break
     top = state.groupBy("field", "q").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "other"))), 1, k).alias("b"))
     return top.select("field", "q", F.explode("b").alias("e")).select("field", "q", "e.other", "e.d")
+
+
+def search_keys(index: tuple[DataFrame, DataFrame, dict], queries: DataFrame, k: int = K) -> DataFrame:
+    """(field, q, other, d): for each query vector the k nearest keys other than its own (k <= K) that ``search`` finds, those
+    of equal vectors included."""
+    nodes = index[0].select("field", F.col("key").alias("other"), "keys")
+    keys = search(index, queries, k + 1).join(nodes, ["field", "other"]).select("field", "q", "d", F.explode("keys").alias("other")).where("q <> other")
+    top = keys.groupBy("field", "q").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "other"))), 1, k).alias("b"))
+    return top.select("field", "q", F.explode("b").alias("e")).select("field", "q", "e.other", "e.d")

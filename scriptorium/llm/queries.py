@@ -34,10 +34,10 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_search(spark: SparkSession, d: str) -> DataFrame:
-    """The nearest nodes of every vector whose key is divisible by 100, by greedy search."""
+    """The nearest keys of every vector whose key is divisible by 100, by greedy search."""
     vectors = _vectors(spark, d)
     index = neighbours.neighbour_graph(vectors)
-    return neighbours.search(index, vectors.where("key % 100 = 0"), neighbours.K + 1).where("q <> other")
+    return neighbours.search_keys(index, vectors.where("key % 100 = 0"))
 
 
 def p3_clusters(spark: SparkSession, d: str) -> DataFrame:

@@ -58,3 +58,15 @@ def test_greedy_search(spark, monkeypatch):
     x = np.array([v for _, v in rows], np.float32).astype(float)
     hits = sum(len(got[q] & set(np.argsort(((x - x[q]) ** 2).sum(axis=1), kind="stable")[:5].tolist())) for q in range(0, 900, 50))
     assert hits / (18 * 5) >= 0.9
+
+
+def test_search_finds_equal_vectors(spark):
+    rng = np.random.default_rng(1)
+    rows = [(i, rng.standard_normal(6).round(3).tolist()) for i in range(60)]
+    rows += [(100 + i, [1.0] * 6) for i in range(12)]
+    table = neighbours.vector_table([(spark.createDataFrame(rows, "key bigint, v array<float>"), "key", "v")])
+    got: dict[int, set] = {}
+    for r in neighbours.search_keys(neighbours.neighbour_graph(table), table.where("key in (0, 7, 100, 103, 111)")).collect():
+        got.setdefault(r.q, set()).add(r.other)
+    x = {k: np.array(v, np.float32).astype(float) for k, v in rows}
+    assert got == {q: {b for _, b in sorted((((x[q] - x[b]) ** 2).sum(), b) for b in x if b != q)[:5]} for q in (0, 7, 100, 103, 111)}
