@@ -413,7 +413,7 @@ def _prepared(texts: DataFrame) -> list[tuple[DataFrame, object]]:
     total = rows.count()
     share = min(1.0, 0.9 * SAMPLE_TEXTS / max(total, 1))
     sample = rows.where(F.pmod(spread, F.lit(1 << 20)) < int(share * (1 << 20)) + 1).orderBy(spread).limit(SAMPLE_TEXTS).collect()
-    coded = [line_features([x.rstrip("\r") for x in r.text.split("\n")][:400], title_of(r.src_table, r.name, r.journal)) for r in sample]
+    coded = [line_features([x.rstrip("\r") for x in r.text.split("\n")], title_of(r.src_table, r.name, r.journal)) for r in sample]
     model = LineModel.fit(coded)
     known = materialize(known_words(texts), "known-words")
     send = texts.sparkSession.sparkContext.broadcast

@@ -237,3 +237,17 @@ def test_names_found_by_their_context(spark):
 def test_context_proposes_unlisted_names(text):
     spans = [text.format("Xaver Huber")[a:b] for a, b, kind, *_ in pii.spans(text.format("Xaver Huber")) if kind == "name"]
     assert spans == ["Xaver Huber"]
+
+
+def test_language_is_told_from_the_whole_text():
+    front = "Preface of the editor and of his publisher. " * 120
+    assert len(front) > 4000 and sentences.language(None, front + "ชายชราลืมเรือ " * 600) == "th" and sentences.language(None, front) == "en"
+
+
+def test_line_model_sees_whole_texts(spark, monkeypatch):
+    sizes, fit = [], scans.LineModel.fit
+    monkeypatch.setattr(scans.LineModel, "fit", lambda texts: (sizes.extend(map(len, texts)), fit(texts))[1])
+    page = "\n".join(["Das alte Haus sah den Garten."] * 900)
+    df = spark.createDataFrame([("raw_docs", 1, "de", "ocr", None, None, page)], "src_table string, item_key bigint, lang string, origin string, name string, journal string, text string")
+    scans.line_problems(df).collect()
+    assert sizes == [900]
