@@ -702,8 +702,8 @@ def upsampled_sizes(spark, d):
 @query()
 def nested_cv(spark, d):
     f = _book_table(spark, d).join(docs(spark, d).select("doc_id", "source", F.when(F.col("genre") == "review", 1).otherwise(0).alias("y")), "doc_id").where("source is not null").na.drop()
-    columns = ["ratio_of_commas_fulltext", "type_token_ratio_fulltext", "unigram_entropy_fulltext", "text_length_fulltext"]
-    pred, _ = models.nested(f, "doc_id", "source", columns, "binary", outer=2, inner=2, testing=True)
+    columns = [c for c in f.columns if c.endswith("_fulltext")]
+    pred, _ = models.nested(f, "doc_id", "source", columns, "binary")
     return pred
 
 

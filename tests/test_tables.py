@@ -147,3 +147,24 @@ def test_affinity_takes_seeds_and_neighbours(spark, tmp_path):
     words = {w for r in catalog.affinity_clusters(spark, str(tmp_path)).collect() for w in r.words.split()}
     seeds = {"worthy", "fine", "wit", "terrible", "tedium"}
     assert seeds <= words and len(words) <= 3 * len(seeds)
+
+
+def test_nested_cv_is_registered_in_full(spark, tmp_path, monkeypatch):
+    import inspect
+
+    from scriptorium.plans import catalog
+
+    rows = [(i, f"The old garden, the tower and house {i}. It was so then, as it is now.", "en", f"s{i}", "review", 1800) for i in range(3)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, genre string, pub_year int").write.parquet(str(tmp_path / "documents.parquet"))
+    seen, form = {}, inspect.signature(models.nested)
+
+    def nested(*args, **named):
+        bound = form.bind(*args, **named)
+        bound.apply_defaults()
+        seen.update(bound.arguments)
+        return args[0], None
+
+    monkeypatch.setattr(models, "nested", nested)
+    catalog.nested_cv(spark, str(tmp_path))
+    assert (seen["outer"], seen["inner"], seen["testing"]) == (5, 5, False) and len(seen["columns"]) > 4
+    assert {t for c, t in seen["data"].dtypes if c in seen["columns"]} <= {"double", "bigint", "int", "float"}
