@@ -6,26 +6,34 @@ leaf are compared. New vectors are searched for by greedy walks over the graph,
 
 The trees are fitted on a sample of at most SAMPLE vectors per field; every vector is indexed. A leaf holds about LEAF
 vectors, halves being cut at the sample's median, so that a dense region is cut as finely as its share of the vectors
-asks. Equal vectors are one node of the graph, with the smallest of their keys, as many as can be anyone's neighbours.
-
-Results for special inputs: null vectors, vectors with null, NaN or infinite elements and vectors of another length than
-most take no part; repeated rows of a key count once; ties go to the smaller key; fewer vectors than neighbours give all.
+asks. A leaf that has got more than FULL vectors is cut again by a tree fitted on a sample of its own, until none is full,
+so that leaves don't grow with the number of vectors. Rounds go on until fewer than DELTA of all edges change; after the
+first, only pairs with an edge that changed are compared. Equal vectors are one node of the graph, with the smallest of
+their keys, as many as can be anyone's neighbours.
+
+Results for special inputs: null vectors and vectors with null, NaN or infinite elements take no part; vectors of different
+length are never neighbours; repeated rows of a key count once; ties go to the smaller key; fewer vectors than neighbours
+give all.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptorium.session import discard, materialize
 
 K = 5
-#: Edges kept per node, trees, vectors in a leaf, sampled vectors per field, sampled vectors in a leaf at least, and rounds.
-KEPT, TREES, LEAF, SAMPLE, LEAF_SAMPLE, ROUNDS = 10, 3, 400, 30_000, 8, 2
+#: Edges kept per node, trees, vectors in a leaf, sampled vectors per field, sampled vectors in a leaf at least, and the
+#: share of edges below which a round's changes end the descent.
+KEPT, TREES, LEAF, SAMPLE, LEAF_SAMPLE, DELTA = 10, 3, 400, 30_000, 8, 0.001
+#: Vectors above which a leaf is cut again; sampled vectors and new leaves of such a cut at most; vectors in one task.
+FULL, INNER_SAMPLE, INNER_LEAVES, PART = 1_000, 2_048, 256, 50_000
 #: Reverse edges that a node passes on in a round.
 REVERSE = 10
 
@@ -96,39 +104,104 @@ def _matrix(column, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.float32).reshape(-1, width)
 
 
+def _by_length(vectors: DataFrame) -> DataFrame:
+    """``vectors`` with the length written behind the field, as only vectors of one length can be neighbours."""
+    return vectors.withColumn("field", F.concat("field", F.lit("|"), (F.octet_length("vec") / 4).cast("int").cast("string")))
+
+
+def _plain_field(c: str = "field"):
+    return F.regexp_replace(c, r"\|\d+$", "")
+
+
 def fit_trees(nodes: DataFrame, seed: int = 17) -> dict[str, tuple[int, list[Tree]]]:
     """By field: (length of its vectors, its trees), from a bounded sample of the nodes (field, key, vec)."""
-    counts = {r.field: (r.n, r.width) for r in nodes.groupBy("field", F.octet_length("vec").alias("width")).agg(F.count(F.lit(1)).alias("n")).orderBy("n").collect()}
     out = {}
-    for field, (n, width) in counts.items():
+    for field, n, size in sorted((r.field, r.n, r.size) for r in nodes.groupBy("field").agg(F.count(F.lit(1)).alias("n"), F.first(F.octet_length("vec")).alias("size")).collect()):
         pick = F.pmod(F.xxhash64("key", F.lit(seed)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, SAMPLE / n))
-        rows = nodes.where((F.col("field") == field) & (F.octet_length("vec") == width) & pick).select("vec").limit(2 * SAMPLE).collect()
-        x = np.frombuffer(b"".join(r.vec for r in rows), np.float32).reshape(-1, width // 4)
+        rows = nodes.where((F.col("field") == field) & pick).select("vec").limit(2 * SAMPLE).collect() if n > LEAF else []
+        x = np.frombuffer(b"".join(r.vec for r in rows), np.float32).reshape(-1, size // 4)
         leaf = max(LEAF_SAMPLE if len(x) < n else 1, LEAF * len(x) // max(n, 1))
-        out[field] = (width // 4, [Tree(x, leaf, seed + t) for t in range(TREES)])
+        out[field] = (size // 4, [Tree(x, leaf, seed + t) for t in range(TREES if len(x) else 1)])
     return out
 
 
 def _with_leaves(nodes: DataFrame, shared) -> DataFrame:
-    """(field, key, vec, leaves): a leaf's number is unique over a field's trees. Vectors of an odd length are dropped."""
+    """(field, key, vec, leaves): a leaf's number is unique over a field's trees. Vectors of an unknown field are dropped."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trees = shared.value
         for batch in batches:
             fields = batch.column(0).to_pylist()
-            for field in sorted(set(fields)):
+            for field in sorted(set(fields) & set(trees)):
                 width, own = trees[field]
-                sizes = pa.compute.binary_length(batch.column(2)).to_numpy(zero_copy_only=False)
-                part = batch.filter(pa.array((np.array(fields) == field) & (sizes == 4 * width)))
-                if not part.num_rows:
-                    continue
+                part = batch.filter(pa.array(np.array(fields) == field))
                 x = _matrix(part.column(2), width)
                 base = np.cumsum([0, *(t.leaves for t in own)])
-                leaves = np.stack([t.leaf_of(x) + b for t, b in zip(own, base)], axis=1).astype(np.int32)
+                leaves = np.stack([t.leaf_of(x) + b for t, b in zip(own, base)], axis=1).astype(np.int64)
                 ends = np.arange(0, leaves.size + 1, leaves.shape[1], dtype=np.int32)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.ListArray.from_arrays(pa.array(ends), pa.array(leaves.ravel()))], names=["field", "key", "vec", "leaves"])
 
-    return nodes.select("field", "key", "vec").mapInArrow(run, "field string, key bigint, vec binary, leaves array<int>")
+    return nodes.select("field", "key", "vec").mapInArrow(run, "field string, key bigint, vec binary, leaves array<bigint>")
+
+
+def _inner_tree(size: int):
+    """The tree that cuts a full leaf into leaves of ``size``, from a sample of its vectors."""
+
+    def run(group: pa.Table) -> pa.Table:
+        vec, n, leaf = group.column("vec").to_pylist(), group.column("n")[0].as_py(), group.column("leaf")[0].as_py()
+        x = np.frombuffer(b"".join(vec), np.float32).reshape(len(vec), -1)
+        tree = Tree(x, max(1, len(x) // min(INNER_LEAVES // 2, -(-n // size))), leaf % (1 << 31))
+        return pa.table({"field": group.column("field")[:1], "leaf": pa.array([leaf], pa.int64()), "tree": pa.array([pickle.dumps(tree)], pa.binary())})
+
+    return run
+
+
+def _inner_leaves(size: int):
+    """The vectors of a part of a full leaf in the leaves of its tree; without one, by a hash of the key."""
+
+    def run(rows: pa.Table, trees: pa.Table) -> pa.Table:
+        leaf, vec = rows.column("leaf").to_numpy(), rows.column("vec").to_pylist()
+        if not vec:
+            sub = np.empty(0, np.int64)
+        elif trees.num_rows:
+            sub = pickle.loads(trees.column("tree")[0].as_py()).leaf_of(np.frombuffer(b"".join(vec), np.float32).reshape(len(vec), -1))
+        else:
+            sub = rows.column("h").to_numpy() % np.minimum(INNER_NUMBERS - 1, -(-rows.column("n").to_numpy() // size))
+        return pa.table([rows.column("field"), rows.column("key"), rows.column("at"), pa.array(leaf * INNER_NUMBERS + sub + FIRST_INNER)], names=["field", "key", "at", "leaf"])
+
+    return run
+
+
+#: Numbers of the leaves of an inner tree: more than a tree has leaves, and above all numbers of outer leaves.
+INNER_NUMBERS, FIRST_INNER = 512, 1 << 20
+
+
+def _cut_full_leaves(placed: DataFrame) -> DataFrame:
+    """``placed`` with leaves of at most FULL vectors. Two levels are cut by trees; vectors that these can't part, as they lie
+    closer together than planes tell, are then parted by a hash. A full leaf is cut in parts of about PART vectors a task."""
+    long = placed.select("field", "key", F.posexplode("leaves").alias("at", "leaf"))
+    first = long
+    for level in range(5):
+        full = materialize(long.groupBy("field", "leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > FULL), "full-leaves")
+        if full.isEmpty():
+            discard(full)
+            break
+        parts = F.ceil(F.col("n") / PART).cast("bigint")
+        rows = long.join(full, ["field", "leaf"]).join(placed.select("field", "key", "vec"), ["field", "key"]).withColumn("h", F.pmod(F.xxhash64("key", F.lit(level)), F.lit(1 << 30)))
+        rows = rows.withColumn("part", F.pmod(F.xxhash64("key", F.lit(-1)), parts))
+        picked = rows.where(F.col("h") < F.lit(float(1 << 30)) * F.least(F.lit(1.0), INNER_SAMPLE / F.col("n")))
+        trees = picked.groupBy("field", "leaf").applyInArrow(_inner_tree(LEAF), "field string, leaf bigint, tree binary") if level < 2 else full.select("field", "leaf", F.lit(b"").alias("tree")).limit(0)
+        trees = trees.join(full, ["field", "leaf"]).select("field", "leaf", "tree", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)).alias("part"))
+        cut = rows.groupBy("field", "leaf", "part").cogroup(trees.groupBy("field", "leaf", "part")).applyInArrow(_inner_leaves(LEAF), "field string, key bigint, at int, leaf bigint")
+        new = materialize(long.join(full, ["field", "leaf"], "left_anti").select("field", "key", "at", "leaf").unionByName(cut), "leaves")
+        discard(full, *([] if long is first else [long]))
+        long = new
+    else:
+        raise RuntimeError("leaves stayed full after five cuts")
+    if long is first:
+        return placed
+    lists = long.groupBy("field", "key").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "leaf"))), lambda s: s["leaf"]).alias("leaves"))
+    return placed.drop("leaves").join(lists, ["field", "key"])
 
 
 def _leaf_edges(group: pa.Table) -> pa.Table:
@@ -158,15 +231,15 @@ def _leaf_edges(group: pa.Table) -> pa.Table:
     return pa.table([field, pa.array(keys[i]), pa.array(keys[j]), pa.array(d), leaves.combine_chunks() if isinstance(leaves, pa.ChunkedArray) else leaves], names=["field", "key", "other", "d", "leaves"])
 
 
-EDGE = "field string, key bigint, other bigint, d double, leaves array<int>"
+EDGE = "field string, key bigint, other bigint, d double, leaves array<bigint>"
 
 
-def _nearest(edges: DataFrame, k: int, out: str = "near") -> DataFrame:
-    """(field, key, near): the k nearest others of each node, nearest first. Two steps, so that a node that many hold for
-    near is first reduced in parts."""
-    entry = F.struct("d", "other", "leaves")
-    parts = edges.groupBy("field", "key", F.pmod(F.xxhash64("other"), F.lit(4)).alias("salt")).agg(F.slice(F.array_sort(F.collect_set(entry)), 1, k).alias("p"))
-    return parts.groupBy("field", "key").agg(F.slice(F.array_sort(F.flatten(F.collect_list("p"))), 1, k).alias(out))
+def _nearest(edges: DataFrame, k: int, *more: str) -> DataFrame:
+    """(field, key, near): the k nearest others of each node, nearest first, as (d, other, leaves, ``more``). Each task ranks
+    its own rows before they meet, so that a node that many hold for near brings no more than k from each."""
+    order = Window.partitionBy("field", "key").orderBy("d", "other")
+    best = edges.withColumn("r", F.dense_rank().over(order)).where(F.col("r") <= k)  # repeated edges share a rank
+    return best.groupBy("field", "key").agg(F.array_sort(F.collect_set(F.struct("d", "other", "leaves", *more))).alias("near"))
 
 
 def _distances(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -194,46 +267,54 @@ def _distances(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return both.select("field", "key_a", "key_b", "vec_a", "vec_b", "leaves_a", "leaves_b").mapInArrow(run, EDGE)
 
 
+def _edges(graph: DataFrame) -> DataFrame:
+    return graph.select("field", "key", F.explode("near").alias("e")).select("field", "key", "e.*")
+
+
 def _strangers(graph: DataFrame) -> DataFrame:
-    """(field, a, b) with a < b of nodes that share a neighbour, in either direction, and no leaf."""
-    edges = graph.select("field", "key", F.explode("near").alias("e")).select("field", "key", F.col("e.other").alias("other"), F.col("e.d").alias("d"), F.col("e.leaves").alias("leaves"))
+    """(field, a, b) with a < b of nodes that share a neighbour, in either direction, over a changed edge, and no leaf."""
     own = graph.select("field", "key", F.col("own").alias("leaves"))
-    back = edges.drop("leaves").join(own, ["field", "key"]).select("field", F.col("other").alias("key"), F.col("key").alias("other"), "d", "leaves")
-    behind = _nearest(back, REVERSE, "behind")
+    back = _edges(graph).drop("leaves").join(own, ["field", "key"]).select("field", F.col("other").alias("key"), F.col("key").alias("other"), "d", "leaves", "fresh")
+    behind = _nearest(back, REVERSE, "fresh").withColumnRenamed("near", "behind")
     around = graph.join(behind, ["field", "key"], "left").select("field", F.array_distinct(F.concat("near", F.coalesce("behind", F.array().cast(graph.schema["near"].dataType)))).alias("n"))
-    crossed = around.select("field", F.explode("n").alias("x"), "n").select(
-        "field", F.col("x.other").alias("a"),
-        F.explode(F.transform(F.filter("n", lambda y: (y["other"] > F.col("x.other")) & ~F.arrays_overlap(y["leaves"], F.col("x.leaves"))), lambda y: y["other"])).alias("b"),
-    )
+    met = lambda x: lambda y: (y["other"] > x["other"]) & (x["fresh"] | y["fresh"]) & ~F.arrays_overlap(y["leaves"], x["leaves"])
+    crossed = around.select("field", F.explode("n").alias("x"), "n").select("field", F.col("x.other").alias("a"), F.explode(F.transform(F.filter("n", met(F.col("x"))), lambda y: y["other"])).alias("b"))
     return crossed.distinct()
 
 
-def neighbour_graph(vectors: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame, dict[str, tuple[int, list[Tree]]]]:
-    """(nodes, graph, trees) of vectors (field, key, vec). nodes: (field, key, vec, keys, leaves), one per different vector,
-    key being its smallest key and keys the K + 1 smallest; graph: (field, key, own, near)."""
+def _graph(own: DataFrame, edges: DataFrame) -> DataFrame:
+    """(field, key, own, near) of nodes (field, key, own, known): near holds (d, other, leaves, fresh), an edge being fresh if
+    it leads to none of ``known``."""
+    near = F.transform("near", lambda e: F.struct(e["d"].alias("d"), e["other"].alias("other"), e["leaves"].alias("leaves"), (~F.array_contains("known", e["other"])).alias("fresh")))
+    return materialize(own.join(_nearest(edges, KEPT), ["field", "key"], "left").select("field", "key", "own", near.alias("near")), "graph")
+
+
+def neighbour_graph(vectors: DataFrame) -> tuple[DataFrame, DataFrame, dict[str, tuple[int, list[Tree]]]]:
+    """(nodes, graph, trees) of vectors (field, key, vec). nodes: (field, key, vec, keys, tops, leaves), one per different
+    vector, key being its smallest key and keys the K + 1 smallest, tops its leaves in ``trees``, leaves those after full ones
+    were cut; graph: (field, key, own, near). The field of these is that of the vectors with their length."""
     spark = vectors.sparkSession
-    # the smallest keys of equal vectors; salted, as equal vectors may be many
-    part = vectors.groupBy("field", "vec", F.pmod(F.xxhash64("key"), F.lit(8)).alias("salt")).agg(F.slice(F.array_sort(F.collect_set("key")), 1, K + 1).alias("p"), F.count(F.lit(1)).alias("n"))
-    whole = part.groupBy("field", "vec").agg(F.slice(F.array_sort(F.flatten(F.collect_list("p"))), 1, K + 1).alias("keys"))
+    order = Window.partitionBy("field", "vec").orderBy("key")
+    smallest = _by_length(vectors).withColumn("r", F.dense_rank().over(order)).where(F.col("r") <= K + 1)  # each task ranks its own rows first
+    whole = smallest.groupBy("field", "vec").agg(F.array_sort(F.collect_set("key")).alias("keys"))
     nodes = materialize(whole.select("field", F.col("keys")[0].alias("key"), "vec", "keys"), "vectors")
     trees = fit_trees(nodes)
     shared = spark.sparkContext.broadcast(trees)
-    placed = materialize(_with_leaves(nodes, shared).join(nodes.select("field", "key", "keys"), ["field", "key"]), "nodes")
-    discard(nodes)
-    spread = placed.select("field", "key", "vec", "leaves", F.explode("leaves").alias("leaf"))
-    seeds = spread.groupBy("field", "leaf").applyInArrow(_leaf_edges, EDGE)
+    tops = materialize(_with_leaves(nodes, shared), "tops")
+    with_keys = tops.select("field", "key", F.col("leaves").alias("tops")).join(nodes.select("field", "key", "keys"), ["field", "key"])
+    placed = materialize(_cut_full_leaves(tops).join(with_keys, ["field", "key"]), "nodes")
+    discard(nodes, tops)
+    seeds = placed.select("field", "key", "vec", "leaves", F.explode("leaves").alias("leaf")).groupBy("field", "leaf").applyInArrow(_leaf_edges, EDGE)
     own = placed.select("field", "key", F.col("leaves").alias("own"))
-    graph = materialize(own.join(_nearest(seeds, KEPT), ["field", "key"], "left"), "graph")
-    for _ in range(rounds):
-        known = graph.select("field", "key", F.explode("near").alias("e")).select("field", "key", F.col("e.other").alias("other"), F.col("e.d").alias("d"), F.col("e.leaves").alias("leaves"))
+    graph = _graph(own.withColumn("known", F.array().cast("array<bigint>")), seeds)
+    while True:  # an edge is only exchanged for a nearer one, so that changes end
         found = materialize(_distances(_strangers(graph), placed), "found")
-        if found.isEmpty():
-            discard(found)
-            break
-        new = materialize(own.join(_nearest(known.unionByName(found), KEPT), ["field", "key"], "left"), "graph")
+        new = _graph(graph.select("field", "key", "own", F.coalesce(F.col("near.other"), F.array().cast("array<bigint>")).alias("known")), _edges(graph).drop("fresh").unionByName(found))
+        edges, changed = new.agg(F.sum(F.size("near")), F.sum(F.size(F.filter("near", lambda e: e["fresh"])))).first()
         discard(graph, found)
         graph = new
-    return placed, graph, trees
+        if (changed or 0) <= DELTA * (edges or 0):
+            return placed, graph, trees
 
 
 def nearest_pairs(vectors: DataFrame, k: int = K) -> DataFrame:
@@ -241,18 +322,17 @@ def nearest_pairs(vectors: DataFrame, k: int = K) -> DataFrame:
     nodes, graph, _ = neighbour_graph(vectors)
     listed = graph.join(nodes.select("field", "key", "keys"), ["field", "key"])
     # a node's own keys come first, at distance 0, then those of the nodes near it
-    edges = listed.select("field", "key", F.explode("near").alias("e")).select("field", "key", F.col("e.other").alias("other"), F.col("e.d").alias("d"))
+    edges = _edges(listed).select("field", "key", "other", "d")
     keys_of = nodes.select("field", F.col("key").alias("other"), "keys")
-    # most nodes stand for one key
-    single, many = keys_of.where("size(keys) = 1").select("field", "other"), keys_of.where("size(keys) > 1")
+    many = keys_of.where("size(keys) > 1")  # most nodes stand for one key
     reached = edges.join(many, ["field", "other"], "left").select("field", "key", "d", F.explode(F.coalesce("keys", F.array("other"))).alias("other"))
     itself = nodes.where("size(keys) > 1").select("field", "key", F.lit(0.0).alias("d"), F.explode("keys").alias("other"))
     lists = reached.unionByName(itself).groupBy("field", "key").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "other"))), 1, k + 1).alias("near"))
     first = nodes.select("field", "key", "keys").join(lists, ["field", "key"]).select("field", F.explode("keys").alias("key"), "near")
-    beyond = vectors.join(nodes.where(F.size("keys") > K).select("field", "vec", "key", "keys").withColumnRenamed("key", "node"), ["field", "vec"]).where(~F.array_contains("keys", F.col("key")))
+    beyond = _by_length(vectors).join(nodes.where(F.size("keys") > K).select("field", "vec", "key", "keys").withColumnRenamed("key", "node"), ["field", "vec"]).where(~F.array_contains("keys", F.col("key")))
     beyond = beyond.select("field", "key", F.transform("keys", lambda x: F.struct(F.lit(0.0).alias("d"), x.alias("other"))).alias("near"))
     top = first.unionByName(beyond).select("field", "key", F.slice(F.filter("near", lambda e: e["other"] != F.col("key")), 1, k).alias("near"))
-    pairs = top.select(F.col("field").alias("vec_field"), "key", F.explode("near.other").alias("other"))
+    pairs = top.select(_plain_field().alias("vec_field"), "key", F.explode("near.other").alias("other"))
     return pairs.select("vec_field", F.least("key", "other").alias("key_a"), F.greatest("key", "other").alias("key_b")).distinct()
 
 
@@ -275,12 +355,14 @@ def _to_queries(pairs: DataFrame, nodes: DataFrame, queries: DataFrame) -> DataF
 
 
 def search(index: tuple[DataFrame, DataFrame, dict], queries: DataFrame, k: int = K) -> DataFrame:
-    """(field, q, other, d): for each query vector (field, key, vec) the k nearest nodes of ``neighbour_graph`` that a greedy
+    """(field, q, other, d), the field with the length: for each query vector (field, key, vec) the k nearest nodes of ``neighbour_graph`` that a greedy
     walk finds: from a few nodes of the query's leaves to neighbours, always keeping the BEAM nearest, until all of those
     have passed on their neighbours. A step is a join for all queries at once."""
     nodes, graph, trees = index
-    placed = materialize(_with_leaves(queries.dropDuplicates(["field", "key"]), queries.sparkSession.sparkContext.broadcast(trees)), "queries")
-    doors = nodes.select("field", "key", F.explode("leaves").alias("leaf")).groupBy("field", "leaf").agg(F.slice(F.array_sort(F.collect_set("key")), 1, ENTRIES).alias("doors"))
+    placed = materialize(_with_leaves(_by_length(queries).dropDuplicates(["field", "key"]), queries.sparkSession.sparkContext.broadcast(trees)), "queries")
+    order = Window.partitionBy("field", "leaf").orderBy("key")
+    ranked = nodes.select("field", "key", F.explode("tops").alias("leaf")).withColumn("r", F.row_number().over(order)).where(F.col("r") <= ENTRIES)
+    doors = ranked.groupBy("field", "leaf").agg(F.collect_list("key").alias("doors"))
     first = placed.select("field", F.col("key").alias("q"), F.explode("leaves").alias("leaf")).join(doors, ["field", "leaf"]).select("field", "q", F.explode("doors").alias("other")).distinct()
     near = graph.select("field", F.col("key").alias("at"), F.explode("near.other").alias("other"))
     state = materialize(_to_queries(first, nodes, placed), "search")
@@ -306,4 +388,4 @@ def search_keys(index: tuple[DataFrame, DataFrame, dict], queries: DataFrame, k:
     nodes = index[0].select("field", F.col("key").alias("other"), "keys")
     keys = search(index, queries, k + 1).join(nodes, ["field", "other"]).select("field", "q", "d", F.explode("keys").alias("other")).where("q <> other")
     top = keys.groupBy("field", "q").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "other"))), 1, k).alias("b"))
-    return top.select("field", "q", F.explode("b").alias("e")).select("field", "q", "e.other", "e.d")
+    return top.select(_plain_field().alias("field"), "q", F.explode("b").alias("e")).select("field", "q", "e.other", "e.d")

@@ -70,3 +70,34 @@ def test_search_finds_equal_vectors(spark):
         got.setdefault(r.q, set()).add(r.other)
     x = {k: np.array(v, np.float32).astype(float) for k, v in rows}
     assert got == {q: {b for _, b in sorted((((x[q] - x[b]) ** 2).sum(), b) for b in x if b != q)[:5]} for q in (0, 7, 100, 103, 111)}
+
+
+def test_full_leaves_are_cut(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "LEAF", 40)
+    monkeypatch.setattr(neighbours, "SAMPLE", 60)  # too few for small leaves, as 30,000 are for many million vectors
+    rng = np.random.default_rng(3)
+    rows = [(i, (rng.standard_normal(8) * (1 + i % 3)).tolist()) for i in range(1500)]
+    whole = run(spark, rows)
+    monkeypatch.setattr(neighbours, "FULL", 80)
+    monkeypatch.setattr(neighbours, "PART", 50)
+    table = neighbours.vector_table([(spark.createDataFrame(rows, "key bigint, v array<float>"), "key", "v")])
+    nodes, _, _ = neighbours.neighbour_graph(table)
+    sizes = [r["n"] for r in nodes.selectExpr("explode(leaves) as leaf").groupBy("leaf").agg({"leaf": "count"}).withColumnRenamed("count(leaf)", "n").collect()]
+    assert max(sizes) <= 80 and sum(sizes) == 3 * 1500
+    want, got = brute(rows), run(spark, rows)
+    assert len(got & want) / len(want) >= 0.97 and len(whole & want) / len(want) >= 0.97
+
+
+def test_vectors_no_plane_parts(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "FULL", 50)
+    monkeypatch.setattr(neighbours, "LEAF", 20)
+    rows = [(i, [1e7 + (i % 2), 0.0, float(np.float32(1e-30) * i)]) for i in range(200)]
+    table = neighbours.vector_table([(spark.createDataFrame(rows, "key bigint, v array<float>"), "key", "v")])
+    nodes, _, _ = neighbours.neighbour_graph(table)
+    assert nodes.count() == 200
+    assert nodes.selectExpr("explode(leaves) as leaf").groupBy("leaf").count().agg({"count": "max"}).first()[0] <= 50
+
+
+def test_lengths_do_not_mix(spark):
+    rows = [(1, [0.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0]), (4, [9.0]), (5, [0.0, 0.0, 0.0])]
+    assert run(spark, rows) == {(1, 2), (3, 4)}
