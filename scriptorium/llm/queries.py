@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.llm import leakage, names, neighbours, pieces, pii, scans, sentences, splits, term_counts, tokenizer
-from scriptorium.session import table
+from scriptorium.session import materialize, shared_folder, table
 
 #: Where the public vocabularies lie; every executor has them there.
 TOKENIZERS = "/opt/tokenizers"
@@ -71,9 +73,18 @@ def p4_vector_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Counts of all terms, read from the state after two deliveries. The first brings half of the records, of which some have
+    only every other part yet and some come with a copy under a key that no table has; the second brings the other half,
+    those records' whole form in place of the former one, and takes the copies back."""
     tokens, chunks = table(spark, d, "relfreq_reviews"), table(spark, d, "chunk")
-    added = term_counts.token_terms(tokens).unionByName(term_counts.map_terms(chunks))
-    counts = term_counts.merge_counts(None, term_counts.term_deltas(added))
+    terms = materialize(term_counts.token_terms(tokens).unionByName(term_counts.map_terms(chunks)), "terms")
+    turn = F.pmod(F.xxhash64("src_table", "record"), F.lit(32))
+    first, changed = turn < 16, turn == 3
+    early = terms.where(changed & (F.col("part") % 2 == 0))
+    copies = terms.where(turn == 5).withColumn("record", -1 - F.col("record"))
+    store = term_counts.TermCounts(spark, f"{shared_folder(spark)}/term-counts-{uuid.uuid4().hex}")
+    store.apply(terms.where(first & ~changed).unionByName(early).unionByName(copies))
+    counts = store.apply(terms.where(~first | changed), early.unionByName(copies))
     totals = tokens.agg(F.lit("relfreq_reviews").alias("src_table"), F.countDistinct("text_id").alias("total")).unionByName(
         chunks.agg(F.lit("chunk").alias("src_table"), F.count(F.lit(1)).alias("total"))
     )

@@ -87,14 +87,51 @@ def test_deltas_equal_recount(spark, tmp_path):
 
     first = [(1, 0, 0, "Der", "j"), (1, 0, 0, "Der", "j"), (1, 0, 1, " der ", None), (2, 0, 0, "", "j"), (2, 0, 1, None, "j"), (2, 1, 0, "Hund", "j")]
     store = term_counts.TermCounts(spark, str(tmp_path / "counts"))
-    assert store.read() is None
+    assert store.read().count() == 0
     assert {(r.term, r.occurrences, r.records) for r in store.apply(terms(first)).collect()} == {("der", 2, 1), ("hund", 1, 1)}
     old, new = [r for r in first if r[0] == 2], [(2, 0, 0, "der", "j"), (3, 0, 0, "Katze", "j")]
     got = {(r.term, r.occurrences, r.records) for r in store.apply(terms(new), terms(old)).collect()}
-    whole = term_counts.merge_counts(None, term_counts.term_deltas(terms([r for r in first if r[0] != 2] + new)))
+    whole = term_counts.merge_counts(spark.createDataFrame([], term_counts.STATE), term_counts.term_deltas(terms([r for r in first if r[0] != 2] + new)))
     assert got == {(r.term, r.occurrences, r.records) for r in whole.collect()} == {("der", 3, 2), ("katze", 1, 1)}
 
 
+def _plain_terms(spark, rows):
+    return spark.createDataFrame([("t", r, 0, w, n) for r, w, n in rows], "src_table string, record bigint, part int, term string, n bigint")
+
+
+def _counted(df):
+    return {(r.term, r.occurrences, r.records) for r in df.collect()}
+
+
+@pytest.mark.parametrize("step", ["_written", "_publish", "_vacuum"])
+def test_stopped_merge_loses_nothing(spark, tmp_path, monkeypatch, step):
+    store = term_counts.TermCounts(spark, str(tmp_path / "counts"), buckets=4)
+    before = _counted(store.apply(_plain_terms(spark, [(1, "a", 2), (1, "b", 1), (2, "a", 1)])))
+    with monkeypatch.context() as m:
+        m.setattr(store, step, lambda *a: (_ for _ in ()).throw(OSError("stopped")))
+        with pytest.raises(OSError):
+            store.apply(_plain_terms(spark, [(3, "c", 1)]), _plain_terms(spark, [(2, "a", 1)]))
+    after = {("a", 2, 1), ("b", 1, 1), ("c", 1, 1)}
+    again = term_counts.TermCounts(spark, str(tmp_path / "counts"))
+    if step == "_vacuum":  # the manifest was renamed before
+        assert _counted(again.read()) == after
+    else:
+        assert _counted(again.read()) == before == {("a", 3, 2), ("b", 1, 1)}
+        assert _counted(again.apply(_plain_terms(spark, [(3, "c", 1)]), _plain_terms(spark, [(2, "a", 1)]))) == after
+
+
+def test_merge_touches_changed_buckets_only_and_buckets_grow(spark, tmp_path, monkeypatch):
+    store = term_counts.TermCounts(spark, str(tmp_path / "counts"), buckets=4)
+    store.apply(_plain_terms(spark, [(i, f"w{i}", 1) for i in range(40)]))
+    old = store.manifest()["parts"]
+    store.apply(_plain_terms(spark, [(99, "w1", 1)]))
+    new = store.manifest()["parts"]
+    assert len(old) == 4 and sum(old[b] != new[b] for b in old) == 1
+    monkeypatch.setattr(term_counts, "BUCKET_TERMS", 5)
+    got = _counted(store.apply(None, _plain_terms(spark, [(99, "w1", 1)])))
+    assert store.manifest()["buckets"] == 4 * term_counts.GROWTH and got == {(f"w{i}", 1, 1) for i in range(40)}
+
+
 def test_marks(spark):
     c = spark.createDataFrame([("t", "a", 9, 2), ("t", "b", 9, 3), ("t", "c", 9, 4)], "src_table string, term string, occurrences bigint, records bigint")
     got = {r.term: r.mark for r in term_counts.marked(c, spark.createDataFrame([("t", 12)], "src_table string, total bigint")).collect()}
