@@ -15,12 +15,17 @@ from scriptorium.session import discard, materialize
 SALTS = 8
 
 
+def salted_join(rows: DataFrame, per_key: DataFrame, key: str, spread_by: str) -> DataFrame:
+    """``rows`` joined with ``per_key``, which has one row per key. The rows of a key are spread over SALTS tasks."""
+    salted = rows.withColumn("__s", F.pmod(F.xxhash64(spread_by), F.lit(SALTS)))
+    spread = per_key.withColumn("__s", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
+    return salted.join(spread, [key, "__s"]).drop("__s")
+
+
 def _least_neighbour(edges: DataFrame) -> DataFrame:
     """Edges (u, v) with ``m``, the least of u and its neighbours v."""
     least = edges.groupBy("u").agg(F.least(F.first("u"), F.min("v")).alias("m"))
-    salted = edges.withColumn("s", F.pmod(F.xxhash64("v"), F.lit(SALTS)))
-    spread = least.withColumn("s", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
-    return salted.join(spread, ["u", "s"]).select("u", "v", "m")
+    return salted_join(edges, least, "u", "v").select("u", "v", "m")
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
