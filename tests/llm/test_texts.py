@@ -216,12 +216,34 @@ def test_wand_equals_full_scores():
         terms = rng.sample(range(len(index.terms)), 40)
         full: dict[int, float] = {}
         for t in terms:
-            for i, s in index.postings[t]:
-                full[i] = full.get(i, 0) + s
+            for k in range(index.start[t], index.start[t] + index.size[t]):
+                full[index.item[k]] = full.get(index.item[k], 0) + index.impact[k]
         want = {i for i, s in full.items() if s >= 0.05}
         assert set(index.retrieve(terms, 0.05)) == want
 
 
+LEAKED = [ITEM, "The baker sold warm bread near an old harbour while grey gulls circled over wet roofs and a clock struck nine."]
+
+
+def test_leaks_with_exchanged_words():
+    """Every second, third or fourth word exchanged: as much of the item is held as words are left."""
+    index = leakage.ItemIndex(list(enumerate(LEAKED)))
+    for step in (2, 3, 4):
+        for i, t in enumerate(LEAKED):
+            ws = t.split()
+            kept = [f"other{j}" if j % step == step - 1 else w for j, w in enumerate(ws)]
+            got = dict(index.matches("Some words before it. " + " ".join(kept) + " And some more behind."))
+            assert i in got and got[i] >= 0.5
+
+
+def test_leaks_in_blocks_of_items(spark, monkeypatch):
+    items = spark.createDataFrame([(i, f"{t} number{i} " + t[::-1]) for i, t in enumerate(LEAKED * 6)], "item_id bigint, text string")
+    docs = spark.createDataFrame([(k, " ".join(w if j % 3 else "x" for j, w in enumerate(f"{t} number{k} {t[::-1]}".split()))) for k, t in enumerate(LEAKED * 6)], "doc_id bigint, text string")
+    whole = sorted(map(tuple, leakage.leaks(docs, "doc_id", "text", items).collect()))
+    monkeypatch.setattr(leakage, "BLOCK_ITEMS", 2)
+    assert whole and sorted(map(tuple, leakage.leaks(docs, "doc_id", "text", items).collect())) == whole
+
+
 # Personal data
 
 
