@@ -1,11 +1,14 @@
 """Variant spellings of names typed by people (problem 3).
 
-Method: names become tf-idf vectors over character n-grams, each gram of one part being taken together with the initial
-of the other part, so that people who share a surname share few grams, whatever the order of the parts; a distributed sparse join finds the pairs whose cosine
-reaches a threshold (of each name's grams, rarest first, only those are joined without which the threshold can't be
-reached, so that no pair is lost and no common gram meets itself); the pairs are compared part by part; average-linkage
-clustering groups what is alike enough. Clusters that are each other's best partner merge in each round, which gives
-the average-linkage result without ever holding a cluster in one task.
+Method: names that differ in case, umlauts or accents only are one node. Nodes become tf-idf vectors over character
+n-grams, each gram of one part being taken together with the initial of the other part, so that people who share a surname
+share few grams, whatever the order of the parts; initials that are written for one another are one. A distributed sparse
+join finds all pairs whose cosine reaches a threshold: of each name's grams, rarest first, only those are joined without
+which the threshold can't be reached, so that no pair is lost and no common gram meets itself. The lists of partners end
+at the threshold and not at a number n, as a number would lose spellings of names that have more. A comparison of the parts
+strikes out pairs whose parts contradict each other, such as two given names. Average-linkage clustering over the cosines
+groups the rest. Clusters that are each other's best partner merge in each round, which gives the average-linkage result
+without ever holding a cluster in one task.
 
 Results for special inputs: null and empty names take no part; names that differ in nothing but case or umlauts are
 alike; a name without second part is all surname; repeated names count once.
@@ -23,9 +26,14 @@ from pyspark.sql import functions as F
 
 from scriptorium.session import discard, materialize
 
-#: Least cosine of a pair that is compared, least average likeness of two clusters that merge.
-COSINE, LINKAGE = 0.35, 0.45
+#: Least cosine of a pair that is compared, least average cosine of two clusters that merge, and the least likeness of parts
+#: that don't contradict each other.
+COSINE, LINKAGE, AGREES = 0.25, 0.25, 0.45
 GRAM = 3
+#: Names with a gram that one task joins with the others of that gram.
+BLOCK = 5_000
+#: Initials that are written for one another.
+INITIALS = {"i": "j", "y": "j", "k": "c", "q": "c", "v": "f", "w": "f", "p": "b", "t": "d", "z": "s"}
 
 # Short and pet forms of given names.
 SHORT_FORMS = """
@@ -185,7 +193,7 @@ def name_grams(name: str) -> set[str]:
         return [w for w in found if w not in PARTICLES] or found
 
     def initials(ws: list[str]) -> set[str]:
-        return {w[0] for w in (ws[0], *_canon.get(ws[0], ()))} if ws else {"-"}
+        return {INITIALS.get(w[0], w[0]) for w in (ws[0], *_canon.get(ws[0], ()))} if ws else {"-"}
 
     body = _body(name)
     if body:
@@ -198,18 +206,18 @@ def name_grams(name: str) -> set[str]:
 
 
 def gram_vectors(names: DataFrame) -> DataFrame:
-    """(name, gram, df, weight) of unit length for names (name, plain); weights are tf-idf over all names."""
+    """(name, gram, df, weight) of unit length for plain names (name); weights are tf-idf over all names."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             where, grams = [], []
-            for i, p in enumerate(batch.column(1).to_pylist()):
+            for i, p in enumerate(batch.column(0).to_pylist()):
                 found = sorted(name_grams(p))
                 where += [i] * len(found)
                 grams += found
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(where, pa.int64())), pa.array(grams, pa.string())], names=["name", "gram"])
 
-    grams = names.select("name", "plain").mapInArrow(run, "name string, gram string")
+    grams = names.select("name").mapInArrow(run, "name string, gram string")
     total = names.count()
     rarity = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).withColumn("idf", F.log(1 + F.lit(float(total)) / F.col("df")))
     weighted = grams.join(rarity, "gram")
@@ -217,9 +225,9 @@ def gram_vectors(names: DataFrame) -> DataFrame:
     return weighted.join(norm, "name").select("name", "gram", "df", (F.col("idf") / F.col("norm")).alias("weight"))
 
 
-def alike_pairs(vectors: DataFrame, least: float = COSINE) -> DataFrame:
-    """(a, b, sim) of all pairs with a < b whose cosine is at least ``least`` and whose parts agree. The join meets every
-    pair of that cosine; parts are compared before the cosine is worked out, as few pairs survive the comparison."""
+def alike_pairs(vectors: DataFrame, least: float = COSINE, rules: bool = True) -> DataFrame:
+    """(a, b, sim) of all pairs with a < b whose cosine ``sim`` is at least ``least`` and, with ``rules``, whose parts don't
+    contradict each other. The names that have a gram meet in blocks, so that a gram of many names is no single task."""
     entry = F.struct("df", "gram", "weight")
     lists = materialize(vectors.groupBy("name").agg(F.array_sort(F.collect_list(entry)).alias("grams")), "name-grams")  # a name's own grams
     # the grams before the place from which on the rest of the vector is too short to reach the threshold alone
@@ -228,29 +236,20 @@ def alike_pairs(vectors: DataFrame, least: float = COSINE) -> DataFrame:
         F.reverse("grams"), F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("n")),
         lambda s, g: F.when(s["sum"] + square(g) < least * least, F.struct((s["sum"] + square(g)).alias("sum"), (s["n"] + 1).alias("n"))).otherwise(F.struct(F.lit(2.0).alias("sum"), s["n"].alias("n"))),
     )["n"]
-    prefix = lists.select("name", F.explode(F.slice("grams", 1, F.size("grams") - rest)).alias("g")).select("name", F.col("g.gram").alias("gram"))
-    pairs = prefix.withColumnRenamed("name", "a").join(prefix.withColumnRenamed("name", "b"), "gram").where("a < b").select("a", "b").distinct()
+    prefix = lists.select("name", F.explode(F.slice("grams", 1, F.size("grams") - rest)).alias("g")).select("name", F.col("g.gram").alias("gram"), F.ceil(F.col("g.df") / BLOCK).cast("bigint").alias("blocks"))
+    a = prefix.select(F.col("name").alias("a"), "gram", F.pmod(F.xxhash64("name"), F.col("blocks")).alias("block"))
+    b = prefix.select(F.col("name").alias("b"), "gram", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("block"))
+    pairs = a.join(b, ["gram", "block"]).where("a < b").select("a", "b").distinct()
+    slim = lists.select("name", F.map_from_arrays(F.transform("grams", lambda g: g["gram"]), F.transform("grams", lambda g: g["weight"])).alias("m"))
+    joined = pairs.join(slim.select(F.col("name").alias("a"), F.col("m").alias("ma")), "a").join(slim.select(F.col("name").alias("b"), F.col("m").alias("mb")), "b")
+    dot = F.aggregate(F.map_entries("ma"), F.lit(0.0), lambda s, e: s + e["value"] * F.coalesce(F.element_at(F.col("mb"), e["key"]), F.lit(0.0)))
+    near = joined.select("a", "b", dot.alias("sim")).where(F.col("sim") >= least)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, str] = {}
-
-        def of(name: str) -> str:
-            if name not in known:
-                if len(known) > 200_000:
-                    known.clear()
-                known[name] = plain(name)
-            return known[name]
-
         for batch in batches:
-            sims = [likeness(of(x), of(y)) for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
-            out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sims, pa.float64())], names=["a", "b", "sim"])
-            yield out.filter(pa.array([s > 0 for s in sims], pa.bool_()))
+            yield batch.filter(pa.array([likeness(x, y) >= AGREES for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())], pa.bool_()))
 
-    agreeing = materialize(pairs.mapInArrow(run, "a string, b string, sim double"), "agreeing")
-    slim = lists.select("name", F.map_from_arrays(F.transform("grams", lambda g: g["gram"]), F.transform("grams", lambda g: g["weight"])).alias("m"))
-    joined = agreeing.join(slim.select(F.col("name").alias("a"), F.col("m").alias("ma")), "a").join(slim.select(F.col("name").alias("b"), F.col("m").alias("mb")), "b")
-    dot = F.aggregate(F.map_entries("ma"), F.lit(0.0), lambda s, e: s + e["value"] * F.coalesce(F.element_at(F.col("mb"), e["key"]), F.lit(0.0)))
-    return joined.where(dot >= least).select("a", "b", "sim")
+    return near.mapInArrow(run, "a string, b string, sim double") if rules else near
 
 
 def average_linkage(pairs: DataFrame, least: float = LINKAGE) -> DataFrame:
@@ -281,12 +280,16 @@ def average_linkage(pairs: DataFrame, least: float = LINKAGE) -> DataFrame:
     return members
 
 
-def variant_clusters(table: DataFrame, file_name: str = "file_name") -> DataFrame:
+def variant_clusters(table: DataFrame, file_name: str = "file_name", rules: bool = True) -> DataFrame:
     """(name, cluster) of the author parts (first two parts of ``file_name``, as typed) that have a variant."""
     name = F.substring_index(F.col(file_name), "_", 2)
     spelt = F.pandas_udf(lambda s: s.map(plain), "string")
     names = materialize(table.select(name.alias("name")).where("name <> '' and name <> '_'").distinct().withColumn("plain", spelt("name")), "names")
-    return average_linkage(materialize(alike_pairs(gram_vectors(names)), "name-pairs"))
+    nodes = names.select(F.col("plain").alias("name")).distinct()
+    found = average_linkage(materialize(alike_pairs(gram_vectors(nodes), rules=rules), "name-pairs")).withColumnRenamed("name", "plain")
+    placed = names.join(found, "plain", "left").select("name", F.coalesce("cluster", "plain").alias("cluster"))
+    several = placed.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("cluster")
+    return placed.join(several, "cluster", "left_semi").select("name", "cluster")
 
 
 def variant_pairs(clusters: DataFrame) -> DataFrame:
