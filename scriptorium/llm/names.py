@@ -28,7 +28,7 @@ from scriptorium.session import discard, materialize
 
 #: Least cosine of a pair that is compared, least average cosine of two clusters that merge, and the least likeness of parts
 #: that don't contradict each other.
-COSINE, LINKAGE, AGREES = 0.25, 0.25, 0.45
+COSINE, LINKAGE, AGREES = 0.3, 0.3, 0.45
 GRAM = 3
 #: Names with a gram that one task joins with the others of that gram.
 BLOCK = 5_000
