@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,12 +13,46 @@ PLAIN_TO = 'aaaaaaaaacccdeeeeeeeiiiiinnnooooooorrsstuuuuuuyyzzzAAAAAACEEEEIIIINO
 SEVERAL = {"ß": "ss", "æ": "ae", "œ": "oe", "Æ": "AE", "Œ": "OE", "þ": "th", "đ": "d", "ł": "l"}
 PUNCTUATION = r"[!-/:-@\[-`{-~]"
 
+# Letters of names by which other scripts are read, where that isn't the name's first letter.
+READ_AS = {"CHI": "c", "KSI": "x", "XI": "x", "YERU": "y", "HARD": "", "SOFT": "", "SHORT": "y"}
+SCRIPTS = ("GREEK", "CYRILLIC", "DEVANAGARI", "THAI", "HIRAGANA", "KATAKANA")
+
+
+def _by_name(first: int, last: int) -> tuple[str, str, str]:
+    """(characters, their Latin letters, characters without sound) of a range of Unicode: a letter is read as the first letter
+    of its own name, capitals as capitals; vowel signs as the vowel; tone marks, viramas and accents have no sound."""
+    letters, latin, mute = "", "", ""
+    for code in range(first, last):
+        c = chr(code)
+        words = unicodedata.name(c, "").split()
+        if unicodedata.combining(c) and not set(words) & {"VOWEL", "SARA"} or "CHARACTER MAI" in " ".join(words):
+            mute += c
+        elif words and words[0] in SCRIPTS and unicodedata.category(c)[0] in "LM":
+            own = [w for w in words[1:] if w not in ("CAPITAL", "SMALL", "LETTER", "CHARACTER", "VOWEL", "SIGN", "SARA", "FINAL", "CANDRA")]
+            if own and words[0] == "CYRILLIC" and len(own[0]) == 2 and own[0][0] == "E":
+                own = [own[0][1]]  # el, em, en, er, es, ef
+            if own and (x := READ_AS.get(own[0], own[0][0].lower())).isascii():
+                letters, latin, mute = (letters + c, latin + (x.upper() if "CAPITAL" in words else x), mute) if x else (letters, latin, mute + c)
+    return letters, latin, mute
+
+
+_ranges = [_by_name(*r) for r in ((0x0300, 0x0370), (0x0370, 0x0400), (0x0400, 0x0460), (0x0900, 0x0980), (0x0E00, 0x0E80), (0x3040, 0x3100))]
+#: All characters that are transliterated one by one, and what they become; those beyond the end of the latter vanish.
+ALL_FROM = PLAIN_FROM + "".join(r[0] for r in _ranges) + "".join(r[2] for r in _ranges)
+ALL_TO = PLAIN_TO + "".join(r[1] for r in _ranges)
+
 
 def transliterated(c: Column) -> Column:
-    """Latin text without marks; characters of other scripts stay as they are."""
+    """Latin text without marks. Greek, Cyrillic, Devanagari, Thai and kana become one Latin letter a character, by the
+    characters' names; Chinese characters stay as they are."""
     for a, b in SEVERAL.items():
         c = F.replace(c, F.lit(a), F.lit(b))
-    return F.translate(c, PLAIN_FROM, PLAIN_TO)
+    return F.translate(c, ALL_FROM, ALL_TO)
+
+
+def stripped(c: Column) -> Column:
+    """A text without any white space at its ends."""
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
 
 def collapsed(c: Column) -> Column:

@@ -55,6 +55,15 @@ def packed_paragraphs(docs: DataFrame, keys: list[str], budget: int, text: str =
     return d.select(*keys, F.posexplode(paragraphs).alias("para_id", "paragraph"))
 
 
+def token_batches(docs: DataFrame, keys: list[str], budget: int, text: str = "text", pad: bool = False, padding: str = "[PAD]") -> DataFrame:
+    """(keys, para_id, tokens, n_tokens): the words of packed paragraphs of at most ``budget`` words, filled up with ``padding`` to
+    that length if ``pad`` is set; n_tokens counts the words alone."""
+    rows = packed_paragraphs(docs, keys, budget, text, keep_open=True).withColumn("tokens", tx.tokens(F.col("paragraph")))
+    n = F.size("tokens")
+    filled = F.concat("tokens", F.array_repeat(F.lit(padding), F.greatest(F.lit(budget) - n, F.lit(0)))) if pad else F.col("tokens")
+    return rows.select(*keys, "para_id", filled.alias("tokens"), n.alias("n_tokens"))
+
+
 def with_tokens(chunks: DataFrame) -> DataFrame:
     """Chunks with ``toks``, the normalised words of each sentence."""
     return chunks.withColumn("toks", F.transform("sentences", lambda s: tx.tokens(tx.normalised(s))))

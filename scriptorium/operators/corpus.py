@@ -6,6 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.functions import text as tx
+from scriptorium.operators.joins import salted_join
+from scriptorium.session import materialize
+
+#: Words whose totals are sent to the executors; of more, totals are joined in salted parts.
+BROADCAST_WORDS = 500_000
 
 # Words and word ends by which the plain tagger tells parts of speech.
 DETERMINERS = ["the", "a", "an", "der", "die", "das", "den", "dem", "des", "ein", "eine", "le", "la", "les", "un", "une"]
@@ -50,10 +55,12 @@ def distance_from_corpus(chunks: DataFrame, counts: DataFrame, vocabulary: DataF
     vocabulary; null for chunks without a word of it. Only words that occur are touched: the sum of squares of the rest,
     (T - c)^2 over the vocabulary, is T^2 - 2Tc + c^2 summed up."""
     used = counts.join(vocabulary.select("gram"), "gram", "left_semi")
-    totals = used.groupBy("gram").agg(F.sum("cnt").cast("double").alias("t"))
+    totals = materialize(used.groupBy("gram").agg(F.sum("cnt").cast("double").alias("t")), "totals")
     whole = totals.agg(F.sum(F.col("t") * F.col("t")).alias("tt"))
     c = F.col("cnt").cast("double")
-    sums = used.join(totals, "gram").groupBy(*keys, "chunk_id").agg(F.sum(F.col("t") * c).alias("tc"), F.sum(c * c).alias("cc"))
+    few = totals.count() <= BROADCAST_WORDS
+    joined = used.join(F.broadcast(totals), "gram") if few else salted_join(used, totals, "gram", [*keys, "chunk_id"])  # the commonest words are in every chunk
+    sums = joined.groupBy(*keys, "chunk_id").agg(F.sum(F.col("t") * c).alias("tc"), F.sum(c * c).alias("cc"))
     rest = F.col("tt") - 2 * F.col("tc") + F.col("cc")
     value = 1 - F.try_divide(F.col("tc") - F.col("cc"), F.sqrt(F.greatest(rest, F.lit(0.0))) * F.sqrt("cc"))
     scored = sums.join(F.broadcast(whole)).select(*keys, "chunk_id", value.alias(name))  # whole is one row

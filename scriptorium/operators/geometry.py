@@ -43,42 +43,66 @@ def _blocks(cents: DataFrame, group: str) -> Iterator[tuple[list, list[int], np.
             yield [r[group] for r in rows], [r["n"] for r in rows], np.array([r["centroid"] for r in rows])
 
 
+def _bins(v: np.ndarray, matrix: np.ndarray) -> np.ndarray:
+    """Bin of the squared distance of each row of ``v`` from each row of ``matrix``: the float's exponent and eight bits more, so
+    that bins are in the order of distances and each is 1/256 of its distance wide."""
+    d = np.maximum((v * v).sum(axis=1)[:, None] + (matrix * matrix).sum(axis=1)[None] - 2 * (v @ matrix.T), 0.0)
+    return d.view(np.int64) >> 44
+
+
 def nearest_of_groups(vectors: DataFrame, group: str, key: str, vec: str) -> DataFrame:
-    """(group, n, d, owner, key): of each group the n vectors nearest to its centroid, n being the group's size. Each task
-    keeps the n nearest of its own vectors, so that few rows meet per group."""
+    """(grp, n, d, owner, key): of each group the n vectors nearest to its centroid, n being the group's size. A first pass counts
+    distances by bin, which tells a distance within which n vectors lie; a second one sends on only those, so that about as
+    many rows meet as there are vectors."""
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    spark = vectors.sparkSession
     rows = vectors.where(vx.complete(F.col(vec))).select(F.col(group).alias("owner"), F.col(key).alias("key"), vx.doubles(F.col(vec)).alias("v"))
     kinds = dict(rows.dtypes)
+    owner_type, key_type = (to_arrow_type(rows.schema[c].dataType) for c in ("owner", "key"))
+    arrow = pa.schema([("grp", owner_type), ("n", pa.int64()), ("d", pa.float64()), ("owner", owner_type), ("key", key_type)])
+    schema = f"grp {kinds['owner']}, n bigint, d double, owner {kinds['owner']}, key {kinds['key']}"
     out = None
     for names, sizes, matrix in _blocks(centroids(vectors, group, vec), group):
-        shared = vectors.sparkSession.sparkContext.broadcast((names, sizes, matrix))
+        shared = spark.sparkContext.broadcast((names, sizes, matrix))
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def parts(batch: pa.RecordBatch, matrix: np.ndarray):
+            v = np.array(batch.column(batch.num_columns - 1).flatten()).reshape(batch.num_rows, -1) if batch.num_rows else np.empty((0, matrix.shape[1]))
+            for at in range(0, len(v), 512):
+                yield at, v[at : at + 512], _bins(v[at : at + 512], matrix)
+
+        def count(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            _, _, matrix = shared.value
+            total: dict[tuple[int, int], int] = {}
+            for batch in batches:
+                for _, _, b in parts(batch, matrix):
+                    pairs, n = np.unique(b + (np.arange(len(matrix), dtype=np.int64) << 20)[None], return_counts=True)
+                    for p, k in zip(pairs.tolist(), n.tolist()):
+                        total[p] = total.get(p, 0) + k
+            yield pa.RecordBatch.from_arrays([pa.array([p >> 20 for p in total], pa.int32()), pa.array([p & 0xFFFFF for p in total], pa.int32()), pa.array(list(total.values()), pa.int64())], names=["c", "bin", "n"])
+
+        counted = rows.select("v").mapInArrow(count, "c int, bin int, n bigint").groupBy("c", "bin").agg(F.sum("n").alias("n"))
+        upto = counted.withColumn("upto", F.sum("n").over(Window.partitionBy("c").orderBy("bin")))
+        size = spark.createDataFrame([(i, n) for i, n in enumerate(sizes)], "c int, size bigint")
+        limits = {r.c: r.bin for r in upto.join(F.broadcast(size), "c").where(F.col("upto") >= F.col("size")).groupBy("c").agg(F.min("bin").alias("bin")).collect()}  # BLOCK rows
+        bound = spark.sparkContext.broadcast(np.array([limits.get(i, 0xFFFFF) + 1 for i in range(len(names))]))  # a bin more, as products round
+
+        def send(batches: Iterator[pa.RecordBatch], shared=shared, bound=bound) -> Iterator[pa.RecordBatch]:
             names, sizes, matrix = shared.value
-            kept: list[list] = [[] for _ in names]
             for batch in batches:
-                if not batch.num_rows:
-                    continue
-                v = np.array(batch.column(2).flatten()).reshape(batch.num_rows, -1)
                 owners, keys = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-                for c, m in enumerate(matrix):
-                    d = np.sqrt(((v - m) ** 2).sum(axis=1))
-                    k = sizes[c]
-                    near = range(len(d)) if len(d) <= k else np.argpartition(d, k - 1)[:k]
-                    kept[c] += [(float(d[i]), keys[i], owners[i]) for i in near]
-                    if len(kept[c]) > 4 * k + 1000:
-                        kept[c] = sorted(kept[c])[:k]
-            flat = [(names[c], sizes[c], d, o, k) for c, rows in enumerate(kept) for d, k, o in sorted(rows)[: sizes[c]]]
-            cols = list(zip(*flat)) or [[]] * 5
-            yield pa.RecordBatch.from_pydict({n: list(c) for n, c in zip(("grp", "n", "d", "owner", "key"), cols)}, schema=arrow)
-
-        from pyspark.sql.pandas.types import to_arrow_type
-
-        owner_type, key_type = (to_arrow_type(rows.schema[c].dataType) for c in ("owner", "key"))
-        arrow = pa.schema([("grp", owner_type), ("n", pa.int64()), ("d", pa.float64()), ("owner", owner_type), ("key", key_type)])
-        part = rows.mapInArrow(run, f"grp {kinds['owner']}, n bigint, d double, owner {kinds['owner']}, key {kinds['key']}")
+                flat: list[list] = [[], [], [], [], []]
+                for at, v, b in parts(batch, matrix):
+                    i, c = np.nonzero(b <= bound.value[None])
+                    d = np.sqrt(((v[i] - matrix[c]) ** 2).sum(axis=1))
+                    for col, values in zip(flat, ([names[x] for x in c], [sizes[x] for x in c], d.tolist(), [owners[at + x] for x in i], [keys[at + x] for x in i])):
+                        col += values
+                yield pa.RecordBatch.from_pydict(dict(zip(("grp", "n", "d", "owner", "key"), flat)), schema=arrow)
+
+        part = rows.mapInArrow(send, schema)
         out = part if out is None else out.unionByName(part)
     if out is None:
-        return vectors.sparkSession.createDataFrame([], f"grp {kinds['owner']}, n bigint, d double, owner {kinds['owner']}, key {kinds['key']}")
+        return spark.createDataFrame([], schema)
     rank = F.row_number().over(Window.partitionBy("grp").orderBy("d", "key"))
     return out.withColumn("rank", rank).where("rank <= n").drop("rank")
 

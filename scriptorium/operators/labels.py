@@ -106,3 +106,56 @@ def label_table(kind: str, reviews: DataFrame | None = None, libraries: DataFram
     if kind == "binary":
         return reviews.select("file_name", F.lit(1).alias("y")).distinct()
     raise ValueError(f"no such label: {kind}")
+
+
+# Names of books that the sources write in two ways, new to old, and of authors, alias to author.
+BOOK_ALIASES = {
+    "Moerike_Eduard_Maler-Nolten_1836": "Moerike_Eduard_Maler-Bolten_1836",
+    "Storm_Theodor_Immensee_1850": "Storm_Theodor_Immersee_1850",
+    "Tieck_Ludwig_Abdallah_1792": "Tieck_Ludwig_Adbdallah_1792",
+    "Hoffmansthal_Hugo_Reitergeschichte_1899": "Hoffmansthal_Hugo-von_Reitergeschichte_1899",
+    "Fontane_Theodor_Die-Poggenpuhls_1896": "Fontane_Theodor_Die-Poppenpuhls_1896",
+    "Schoenherr_Karl_Allerhand-Kreuzkoepf_1895": "Schoenherr_Karl_Allerhand-Krezkoepf_1895",
+    "Hunold_Christian-Friedrich_Die-liebenswuerdige-Adalie_1702": "Hunold_Christian-Friedrich_Die-liebenswuerdige-Adalie_1681",
+}
+AUTHOR_ALIASES = {
+    "Hoffmansthal_Hugo-von": "Hoffmansthal_Hugo",
+    "Holz-Schlaf_Arno-Johannes": "Schlaf_Johannes",
+    "Arnim-Arnim_Bettina-Gisela": "Arnim_Bettina",
+    "Stevenson-Grift_Robert-Louis-Fanny-van-de": "Stevenson_Robert-Louis",
+    "Stevenson-Osbourne_Robert-Louis-Lloyde": "Stevenson_Robert-Louis",
+}
+# Years of the first and last review, and of the last library catalogue, by language.
+YEARS = {"eng": (1771, 1914, 1907), "ger": (1785, 1915, 1901)}
+
+
+def dataset(features: DataFrame, labels: DataFrame, task: str, language: str, years: DataFrame | None = None, key: str = "file_name") -> DataFrame:
+    """Feature rows with their label ``y``. Regression keeps the rows that have a label. The other tasks keep all rows, 0 for
+    those without, whose year in ``years`` (key, pub_year) lies within the bounds of language and task; book names of labels
+    and years are brought to those of the features. A book has one label and one year, or an error is raised by the caller's
+    own check of uniqueness; a row whose year is unknown is out."""
+    if task == "regression":
+        return labelled(features, labels, key)
+    aliased = lambda df: df.withColumn(key, renamed_values(F.col(key), BOOK_ALIASES))
+    rows = labelled_or_zero(features, aliased(labels), key).join(aliased(years).select(key, F.col("pub_year").alias("__year")), key, "left")
+    first, last, library = YEARS[language]
+    kept = within_years(rows, "__year", None, library) if task == "library" else within_years(rows, "__year", first, last)
+    return kept.drop("__year")
+
+
+def frame_of(spark, values: dict, key: str = "key", value: str = "value") -> DataFrame:
+    """A dictionary as a two-column frame, in the order of its keys' rows."""
+    return spark.createDataFrame([(k, v) for k, v in values.items()], [key, value]) if values else spark.createDataFrame([], f"{key} string, {value} string")
+
+
+def fold_shapes(rows: DataFrame, fold: str, key: str) -> DataFrame:
+    """(fold, part, n_rows, n_keys): size of each fold's train and test part, with and without repeated keys. Train sizes are
+    the whole less the fold, so that no row is copied into every fold; keys in two folds count in both."""
+    per = rows.groupBy(fold, key).agg(F.count(F.lit(1)).alias("n"))
+    test = per.groupBy(fold).agg(F.sum("n").alias("n_rows"), F.count(F.lit(1)).alias("n_keys"))
+    spread_ = per.groupBy(key).agg(F.count(F.lit(1)).alias("folds"), F.min(fold).alias(fold))
+    only = spread_.where("folds = 1").groupBy(fold).agg(F.count(F.lit(1)).alias("only"))
+    whole = rows.agg(F.count(F.lit(1)).alias("all_rows"), F.countDistinct(key).alias("all_keys"))
+    t = test.join(only, fold, "left").join(F.broadcast(whole))  # whole is one row
+    train = t.select(fold, F.lit("train").alias("part"), (F.col("all_rows") - F.col("n_rows")).alias("n_rows"), (F.col("all_keys") - F.coalesce("only", F.lit(0))).alias("n_keys"))
+    return train.unionByName(t.select(fold, F.lit("test").alias("part"), "n_rows", "n_keys"))

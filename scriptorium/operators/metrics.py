@@ -75,24 +75,62 @@ def best_feature_level(best: DataFrame, level: str, fold: str, metric: str) -> D
     return means.orderBy(F.desc("mean_inner_score"), level).limit(1)
 
 
+def draw(key, seed: int, salt: int):
+    """A number in [0, 1) that depends on key, seed and salt only."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(str(seed)), F.lit(str(salt)))), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
+
+
+BASELINES = ("all_zero", "uniform", "by_frequency", "two_largest", "three_largest")
+
+
 def baselines(df: DataFrame, y: str = "y_true", key: str = "row_id", seed: int = 8) -> DataFrame:
     """``df`` with random predictions: all 0, uniform over the classes, by class frequency, and by given shares of the three
-    largest classes (1/2, 1/4, 1/4) and of the two largest (1/2, 1/2). A row's draws depend on its key and the seed only."""
-    ranked = df.groupBy(y).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), y).limit(1000).collect()  # classes
-    total = sum(r["n"] for r in ranked) or 1
-
-    def pick(salt: int, classes: list, shares: list[float]):
-        u = F.pmod(F.xxhash64(F.col(key), F.lit(seed), F.lit(salt)), F.lit(1 << 40)) / F.lit(float(1 << 40))
-        out, top = F.lit(classes[-1]), sum(shares)
-        for c, s in list(zip(classes, shares))[-2::-1]:
-            top -= shares[classes.index(c) + 1]
-            out = F.when(u < top, F.lit(c)).otherwise(out)
-        return out
-
-    cs = [r[y] for r in ranked] or [0]
-    return df.withColumn("all_zero", F.lit(0)).withColumn("uniform", pick(1, cs, [1 / len(cs)] * len(cs))).withColumn("by_frequency", pick(2, cs, [r["n"] / total for r in ranked] or [1.0])).withColumn(
-        "two_largest", pick(3, cs[:2], [0.5, 0.5][: len(cs[:2])])
-    ).withColumn("three_largest", pick(4, cs[:3], [0.5, 0.25, 0.25][: len(cs[:3])]))
+    largest classes (1/2, 1/4, 1/4) and of the two largest (1/2, 1/2). A row's draws depend on its key and the seed only.
+    Classes stand in an array of one row; a draw is looked up in the array of their summed shares."""
+    counts = df.where(F.col(y).isNotNull()).groupBy(F.col(y).alias("c")).agg(F.count(F.lit(1)).alias("n"))
+    ordered = counts.agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), "c"))).alias("o"))  # a row per class
+    cs = ordered.select(F.transform("o", lambda x: x["c"]).alias("__c"), F.transform("o", lambda x: -x["m"]).alias("__n"))
+    upto = lambda shares: F.transform(F.sequence(F.lit(1), F.greatest(F.size(shares), F.lit(1))), lambda i: F.aggregate(F.slice(shares, 1, i), F.lit(0.0), lambda s, x: s + x))
+    equal = F.transform("__n", lambda x: F.lit(1.0) / F.size("__n"))
+    whole = F.aggregate("__n", F.lit(0).cast("bigint"), lambda s, x: s + x)
+    shares = {"uniform": equal, "by_frequency": F.transform("__n", lambda x: x.cast("double") / whole), "two_largest": F.array(F.lit(0.5), F.lit(0.5)), "three_largest": F.array(F.lit(0.5), F.lit(0.25), F.lit(0.25))}
+    bounds = cs.select("__c", *(upto(v).alias(f"__{k}") for k, v in shares.items()))
+    j = df.join(F.broadcast(bounds)).withColumn("all_zero", F.lit(0))  # one row
+    for salt, name in enumerate(shares, 1):
+        u = draw(key, seed, salt)
+        at = F.size(F.filter(f"__{name}", lambda b: b <= u)) + 1
+        j = j.withColumn(name, F.get("__c", F.least(at, F.size("__c")) - 1))
+    return j.drop("__c", *(f"__{k}" for k in shares))
+
+
+def baseline_scores(predicted: DataFrame, y: str = "y_true") -> DataFrame:
+    """(baseline, accuracy, balanced_accuracy, f1_macro, f1_weighted) of the predictions that ``baselines`` adds."""
+    out = None
+    for name in BASELINES:
+        one = class_scores(predicted, y, name).withColumn("baseline", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def scored(df: DataFrame, task: str, y: str = "y_true", p: str = "y_pred") -> DataFrame:
+    """(metric, value): the metrics of a task, rounded to three digits."""
+    if task == "regression":
+        s, names = regression_scores(df, [], y, p), ["corr", "corr_pvalue"]
+    else:
+        s, names = class_scores(df, y, p), ["balanced_accuracy"] if task in ("binary", "library") else ["f1_macro", "f1_weighted"]
+    return s.select(F.explode(F.create_map(*(x for n in names for x in (F.lit(n), F.bround(n, 3))))).alias("metric", "value"))
+
+
+def evaluation(df: DataFrame, y: str = "y_true", p: str = "y_pred") -> dict[str, DataFrame]:
+    """What is written about a classification: table with margins, report by class, scores, and scores of the baselines."""
+    return {"crosstab": confusion_table(df, y, p), "report": class_report(df, y, p), "scores": class_scores(df, y, p), "baselines": baseline_scores(baselines(df, y), y)}
+
+
+def axis_limits(df: DataFrame, by: list[str], y: str = "y_true", p: str = "y_pred") -> DataFrame:
+    """(by, least, greatest, limit) over true and predicted values; limit is the greatest magnitude of all groups."""
+    ends = df.groupBy(*by).agg(F.least(F.min(y), F.min(p)).alias("least"), F.greatest(F.max(y), F.max(p)).alias("greatest"))
+    most = ends.agg(F.max(F.greatest(F.abs("least"), F.abs("greatest"))).alias("limit"))
+    return ends.join(F.broadcast(most))  # one row
 
 
 def from_counts(counts: DataFrame, label: str, n: str = "n") -> DataFrame:

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from scriptorium.functions import text as tx
 from scriptorium.operators.chunks import with_tokens
 
+#: Consecutive keys whose offsets are summed in one task.
+OFFSET_KEYS = 1_000_000
+
 
 def chunk_counts(chunks: DataFrame, keys: list[str], n: int) -> DataFrame:
     """(keys, chunk_id, gram, cnt)."""
@@ -36,6 +39,21 @@ def top(counts: DataFrame, k: int, name: str = "gram") -> DataFrame:
     return counts.orderBy(F.desc("cnt"), name).limit(k)
 
 
+def chunk_lists(chunks: DataFrame, key: str) -> DataFrame:
+    """(key, chunk_ids): the chunks of each document, in order."""
+    return chunks.groupBy(key).agg(F.array_sort(F.collect_list("chunk_id")).alias("chunk_ids"))
+
+
+def offsets(chunks: DataFrame, key: str) -> DataFrame:
+    """(key, first, n): where a document's chunks begin when all are put one after another by key. Sums of a bucket of keys come
+    before sums within it, so that no task orders all documents."""
+    per = chunks.groupBy(key).agg(F.count(F.lit(1)).alias("n")).withColumn("b", F.floor(F.col(key) / OFFSET_KEYS))
+    buckets = per.groupBy("b").agg(F.sum("n").alias("bn"))
+    before = buckets.select("b", (F.sum("bn").over(Window.orderBy("b")) - F.col("bn")).alias("before"))  # a row per bucket
+    own = F.sum("n").over(Window.partitionBy("b").orderBy(key)) - F.col("n")
+    return per.withColumn("own", own).join(before, "b").select(key, (F.col("before") + F.col("own")).alias("first"), "n")
+
+
 def restricted(counts: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """Counts of the grams in a vocabulary."""
     return counts.join(vocabulary.select("gram"), "gram", "left_semi")
@@ -46,20 +64,28 @@ def document_frequency(counts: DataFrame, key: str) -> DataFrame:
     return counts.select("gram", key).distinct().groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
 
 
-def vocabulary(counts: DataFrame, key: str, n_docs: int | None = None, min_docs: int | None = None, max_docs: int | None = None, min_percent: float | None = None, max_percent: float | None = None) -> DataFrame:
-    """(gram, df) within bounds on document frequency, given as numbers or as percentages of ``n_docs`` documents rounded
-    half to even. A lower bound that nothing meets is ignored if there is an upper one."""
+def vocabulary(counts: DataFrame, key: str, n_docs: DataFrame | int | None = None, min_docs: int | None = None, max_docs: int | None = None, min_percent: float | None = None, max_percent: float | None = None) -> DataFrame:
+    """(gram, df) within bounds on document frequency, given as numbers or as percentages of ``n_docs`` documents, a number or
+    a frame of one row and column, rounded half to even. A lower bound that nothing meets is ignored if there is an upper one."""
     if (min_docs, max_docs, min_percent, max_percent) == (None,) * 4:
         raise ValueError("no bound given")
     if (min_docs is not None and min_percent is not None) or (max_docs is not None and max_percent is not None):
         raise ValueError("a bound is given both as number and percentage")
-    low = min_docs if min_percent is None else round(min_percent / 100 * n_docs)
-    high = max_docs if max_percent is None else round(max_percent / 100 * n_docs)
     df = document_frequency(counts, key)
-    above = df.where(F.col("df") >= low) if low is not None else df
-    if low is not None and high is not None and above.isEmpty():
-        above = df
-    return above.where(F.col("df") <= high) if high is not None else above
+    if isinstance(n_docs, DataFrame):
+        df = df.join(F.broadcast(n_docs.toDF("__docs")))  # one row
+    else:
+        df = df.withColumn("__docs", F.lit(n_docs).cast("bigint"))
+    bound = lambda n, percent: F.lit(n) if percent is None else F.bround(percent / 100 * F.col("__docs"), 0)
+    kept = F.lit(True)
+    if min_docs is not None or min_percent is not None:
+        kept = F.col("df") >= bound(min_docs, min_percent)
+        if max_docs is not None or max_percent is not None:
+            df = df.join(F.broadcast(df.agg(F.max(kept).alias("__met"))))  # one row
+            kept = kept | ~F.col("__met")
+    if max_docs is not None or max_percent is not None:
+        kept = kept & (F.col("df") <= bound(max_docs, max_percent))
+    return df.where(kept).select("gram", "df")
 
 
 def relative_frequency(words: DataFrame, word: str = "word") -> DataFrame:

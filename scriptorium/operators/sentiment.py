@@ -23,9 +23,15 @@ def alpha_words(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     return docs.where(F.col(text).isNotNull()).select(key, F.posexplode(F.regexp_extract_all(F.lower(F.replace(F.col(text), F.lit("\n"), F.lit(" "))), F.lit(r"(\p{L}+)"), 1)).alias("pos", "word"))
 
 
-def without_stopwords(words: DataFrame, language: str = "english", word: str = "word") -> DataFrame:
-    """Rows whose word is none of Spark's stop words of a language; repeated words stay."""
-    return words.where(~F.col(word).isin(StopWordsRemover.loadDefaultStopWords(language)))
+def without_stopwords(words: DataFrame, language: str = "english", word: str = "word", stopwords: list[str] | None = None) -> DataFrame:
+    """Rows whose word is none of the stop words given, or of Spark's of a language; repeated words stay."""
+    return words.where(~F.col(word).isin(StopWordsRemover.loadDefaultStopWords(language) if stopwords is None else stopwords))
+
+
+def seed_words(vectors: DataFrame, positive: list[str], negative: list[str], top_words: DataFrame) -> DataFrame:
+    """(word, vector) of the seed words, each once, that have a vector and are among the top words."""
+    seeds = sorted({*positive, *negative})
+    return vectors.where(F.col("word").isin(seeds)).join(top_words.select("word"), "word", "left_semi").select("word", "vector")
 
 
 def typical_words(frequencies: DataFrame, comparison: DataFrame) -> DataFrame:
@@ -111,12 +117,22 @@ def sentence_words(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     return s.select(key, "sent_idx", F.explode_outer(tx.tokens(tx.normalised(F.col("s")))).alias("word"))
 
 
+#: Scores are summed as whole multiples of 1/SCALE, and means of sentences as those of 1/FINE, so that no order of rows
+#: changes a sum.
+SCALE, FINE = 1_000_000, 1_000_000_000_000
+
+
+def _mean_of_sentences(by_sentence: DataFrame, key: str, name: str) -> DataFrame:
+    whole = by_sentence.withColumn("w", F.round(F.col("s") * float(FINE)).cast("decimal(38,0)"))
+    return whole.groupBy(key).agg((F.sum("w").cast("double") / (F.count(F.lit(1)) * F.lit(float(FINE)))).alias(name))
+
+
 def lexicon_scores(words: DataFrame, lexicon: DataFrame, key: str, name: str = "sentiscore_average") -> DataFrame:
     """(key, name): mean over a review's sentences of the mean over their words in the lexicon; sentences without one
     count as 0."""
-    hits = words.join(lexicon, "word", "left")
-    by_sentence = hits.groupBy(key, "sent_idx").agg(F.coalesce(F.avg("score"), F.lit(0.0)).alias("s"))
-    return by_sentence.groupBy(key).agg(F.avg("s").alias(name))
+    hits = words.join(lexicon.select("word", F.round(F.col("score") * SCALE).cast("bigint").alias("w")), "word", "left")
+    by_sentence = hits.groupBy(key, "sent_idx").agg(F.coalesce(tx.ratio(F.sum("w"), F.count("w") * SCALE), F.lit(0.0)).alias("s"))
+    return _mean_of_sentences(by_sentence, key, name)
 
 
 def polarity_scores(words: DataFrame, polarity: DataFrame, boosted: DataFrame | None, key: str, boost: float = 1.5, name: str = "sentiment_polarity") -> DataFrame:
@@ -127,8 +143,25 @@ def polarity_scores(words: DataFrame, polarity: DataFrame, boosted: DataFrame |
     if boosted is not None:
         scored = scored.join(boosted.select("word", F.lit(boost).alias("b")), "word", "left")
         value = value * F.coalesce("b", F.lit(1.0))
-    by_sentence = scored.groupBy(key, "sent_idx").agg(F.coalesce(tx.ratio(F.sum(F.when(F.col("word").isNotNull(), value)), F.count("word")), F.lit(0.0)).alias("s"))
-    return by_sentence.groupBy(key).agg(F.avg("s").alias(name))
+    whole = F.round(value * SCALE).cast("bigint")
+    by_sentence = scored.groupBy(key, "sent_idx").agg(F.coalesce(tx.ratio(F.sum(F.when(F.col("word").isNotNull(), whole)), F.count("word") * SCALE), F.lit(0.0)).alias("s"))
+    return _mean_of_sentences(by_sentence, key, name)
+
+
+def classified(scores: DataFrame, key: str, positive: str, negative: str, positive_share: float = 0.5, negative_share: float = 0.5) -> DataFrame:
+    """(key, positive, negative, classified, sentiment): positive if the score ``positive`` exceeds a share of its first
+    quartile over positive values, negative if ``negative`` is below a share of its own first quartile over negative
+    values; a review that is both or neither is not_classified, with sentiment 0."""
+    q = scores.agg(
+        F.expr(f"percentile(case when `{positive}` > 0 then cast(`{positive}` as double) end, 0.25)").alias("qp"),
+        F.expr(f"percentile(case when `{negative}` < 0 then cast(`{negative}` as double) end, 0.25)").alias("qn"),
+    )
+    p, n = F.col(positive), F.col(negative)
+    marked = scores.join(F.broadcast(q)).withColumn("__p", F.coalesce((p > 0) & (p > F.col("qp") * positive_share), F.lit(False))).withColumn("__n", F.coalesce((n < 0) & (n < F.col("qn") * negative_share), F.lit(False)))  # q is one row
+    both = lambda a, b: F.col(a) & ~F.col(b)
+    kind = F.when(both("__p", "__n"), "positive").when(both("__n", "__p"), "negative").otherwise("not_classified")
+    value = F.when(both("__p", "__n"), p).when(both("__n", "__p"), n).otherwise(0.0)
+    return marked.select(key, positive, negative, kind.alias("classified"), value.alias("sentiment"))
 
 
 def quartile_classes(scores: DataFrame, key: str, score: str, positive_share: float = 0.5, negative_share: float = 0.5) -> DataFrame:

@@ -11,7 +11,7 @@ from scriptorium.functions import text as tx
 from scriptorium.functions import vectors as vx
 from scriptorium.operators import chunks, corpus, describe, features, folds, geometry, labels, metrics, models, ngrams, sentiment, stylometry
 from scriptorium.plans import sqlparts as sq
-from scriptorium.session import materialize, spread, table
+from scriptorium.session import materialize, table
 
 SIZE, KEYS = sq.SIZE, ["doc_id"]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,7 +39,7 @@ def r6(df: DataFrame, *names: str) -> DataFrame:
 
 
 def docs(spark: SparkSession, d: str) -> DataFrame:
-    return spread(table(spark, d, "documents").select("doc_id", "text", "lang", "source", "genre", "pub_year"))
+    return table(spark, d, "documents").select("doc_id", "text", "lang", "source", "genre", "pub_year")
 
 
 def doc_chunks(spark: SparkSession, d: str) -> DataFrame:
@@ -75,7 +75,7 @@ def normalised_sentences(spark, d):
     return chunks.sentence_rows(docs(spark, d), "doc_id").select("doc_id", "sent_idx", tx.normalised(F.col("sentence")).alias("norm"))
 
 
-@query()
+@query(f"with recursive {sq.DOCS}, {sq.PACKED} select doc_id, para_id, paragraph from p")
 def packed_paragraphs(spark, d):
     return chunks.packed_paragraphs(docs(spark, d), KEYS, 60, keep_open=True)
 
@@ -123,8 +123,7 @@ def book_top_trigrams(spark, d):
 
 @query(f"with {sq.TOKENS}, {sq.grams(1)}, df as (select gram, count(distinct doc_id) as df from g1 group by all), n as (select count(*) as n from documents) select gram, df from df, n where df between round_even(0.05 * n, 0) and round_even(0.5 * n, 0)")
 def doc_frequency_filter(spark, d):
-    n = docs(spark, d).count()
-    return ngrams.vocabulary(counts(spark, d, 1), "doc_id", n_docs=n, min_percent=5, max_percent=50)
+    return ngrams.vocabulary(counts(spark, d, 1), "doc_id", n_docs=docs(spark, d).agg(F.count(F.lit(1))), min_percent=5, max_percent=50)
 
 
 @query(f"with {sq.TOKENS}, w as (select unnest(flatten(toks)) as word from tk) select word, count(*) as cnt, round(count(*)::double / (select count(*) from w), 9) as freq from w group by word")
@@ -192,7 +191,7 @@ def readability(spark, d):
 
 def _distance_query(name: str, n: int, vocabulary_sql: str, vocabulary):
     def f(spark, d):
-        c = counts(spark, d, n)
+        c = materialize(counts(spark, d, n), "counts")  # read for vocabulary, totals and sums
         return r6(corpus.distance_from_corpus(doc_chunks(spark, d), c, vocabulary(spark, d, c), KEYS, name), name)
 
     f.__name__ = name
@@ -206,7 +205,7 @@ from chunks c left join s on c.doc_id = s.doc_id and c.chunk_id = s.chunk_id cro
 _distance_query("unigram_distance", 1, "select gram from df where df >= 2", lambda spark, d, c: ngrams.vocabulary(c, "doc_id", min_docs=2))
 _distance_query(
     "unigram_distance_limited", 1, "select gram from df, (select count(*) as docs from documents) where df between round_even(0.05 * docs, 0) and round_even(0.5 * docs, 0)",
-    lambda spark, d, c: ngrams.vocabulary(c, "doc_id", n_docs=docs(spark, d).count(), min_percent=5, max_percent=50),
+    lambda spark, d, c: ngrams.vocabulary(c, "doc_id", n_docs=docs(spark, d).agg(F.count(F.lit(1))), min_percent=5, max_percent=50),
 )
 for _n, _name in ((2, "bigram"), (3, "trigram")):
     _distance_query(
@@ -348,16 +347,20 @@ def _reviews(spark, d):
 _RW = f"{sq.SENTENCES}, rs as (select doc_id, sent_idx, {sq.words(sq.normalised('sentence'))} as ws from sent semi join (select doc_id from documents where genre = 'review') using (doc_id)), rw as (select doc_id, sent_idx, unnest(ws) as word from rs)"
 
 
-@query(f"""with {_RW}, lex(word, score) as {_values(LEXICON)}, s as (select doc_id, sent_idx, avg(score) as s from rw join lex using (word) group by all)
-select doc_id, round(avg(coalesce(s, 0)), 6) as sentiscore_average from rs left join s using (doc_id, sent_idx) group by doc_id""")
+#: Mean of sentences, summed as whole numbers.
+_WHOLE = "sum(round(coalesce(s, 0) * 1000000000000.0::double)::hugeint)::double / (count(*) * 1000000000000.0::double)"
+
+
+@query(f"""with {_RW}, lex(word, score) as {_values(LEXICON)}, s as (select doc_id, sent_idx, sum(round(score * 1000000)::bigint)::double / (count(*) * 1000000)::double as s from rw join lex using (word) group by all)
+select doc_id, round({_WHOLE}, 6) as sentiscore_average from rs left join s using (doc_id, sent_idx) group by doc_id""")
 def lexicon_score(spark, d):
     words = sentiment.sentence_words(_reviews(spark, d), "doc_id")
     return r6(sentiment.lexicon_scores(words, _lexicon(spark, LEXICON), "doc_id"), "sentiscore_average")
 
 
 @query(f"""with {_RW}, pol(word, p) as {_values(POLARITY)}, lex(word, score) as {_values(LEXICON)},
-s as (select doc_id, sent_idx, sum(coalesce(p, 0) * case when score is null then 1.0 else 1.5 end::double) / count(*) as s from rw left join pol using (word) left join lex using (word) group by all)
-select doc_id, round(avg(coalesce(s, 0)), 6) as sentiment_polarity from rs left join s using (doc_id, sent_idx) group by doc_id""")
+s as (select doc_id, sent_idx, sum(round(coalesce(p, 0) * case when score is null then 1.0 else 1.5 end::double * 1000000)::bigint)::double / (count(*) * 1000000)::double as s from rw left join pol using (word) left join lex using (word) group by all)
+select doc_id, round({_WHOLE}, 6) as sentiment_polarity from rs left join s using (doc_id, sent_idx) group by doc_id""")
 def boosted_polarity(spark, d):
     words = sentiment.sentence_words(_reviews(spark, d), "doc_id")
     return r6(sentiment.polarity_scores(words, _lexicon(spark, POLARITY), _lexicon(spark, LEXICON), "doc_id"), "sentiment_polarity")
@@ -381,9 +384,14 @@ def top_words(spark, d):
     return ngrams.top(w.groupBy("word").agg(F.count(F.lit(1)).alias("cnt")), 10000, "word")
 
 
-@query()
+# The plain tagger's function words, as stop words.
+STOPWORDS = [*corpus.DETERMINERS, *corpus.PRONOUNS, *corpus.ADPOSITIONS, *corpus.CONJUNCTIONS]
+
+
+@query(rf"""with w as (select unnest(regexp_extract_all(lower(replace(text, chr(10), ' ')), '(\p{{L}}+)')) as word from documents where genre = 'review' and text is not null)
+select word, count(*) as cnt from w where word not in ({sq.listed(STOPWORDS)}) group by word""")
 def content_words(spark, d):
-    return sentiment.without_stopwords(sentiment.alpha_words(_reviews(spark, d).where("lang = 'en'"), "doc_id")).groupBy("word").agg(F.count(F.lit(1)).alias("cnt"))
+    return sentiment.without_stopwords(sentiment.alpha_words(_reviews(spark, d), "doc_id"), stopwords=STOPWORDS).groupBy("word").agg(F.count(F.lit(1)).alias("cnt"))
 
 
 _SCORES = "sc as (select event_id, value - 50 as score from events where value is not null)"
@@ -657,14 +665,28 @@ def best_feature_level(spark, d):
     return r6(metrics.best_feature_level(b, "level", "fold", "metric"), "mean_inner_score")
 
 
-@query()
+_DRAW = "('0x' || substr(md5(row_id || '|8|{}'), 1, 8))::bigint / 4294967296.0::double"
+
+
+@query(f"""with {_REG}, c as (select fold, count(*) as n, corr(y_true, y_pred) as r from rg group by fold),
+k as (select fold, unnest(range(0, (n - 2) // 2)) as k, r from c), s as (select fold, sum(pow(1 - r * r, k) * exp(lgamma(k + 0.5) - lgamma(0.5) - lgamma(k + 1.0))) as s from k group by fold)
+select fold, round(r, 6) as corr, round(1 - abs(r) * s, 4) as corr_pvalue from c join s using (fold) where n % 2 = 0""".replace(
+    "o_totalprice * (1 + (o_orderkey % 13 - 6) / 10.0::double) as y_pred", "(o_orderkey * 7919 % 101)::double as y_pred").replace("o_orderkey % 5)::int as fold", "o_orderkey % 50)::int as fold"))
 def correlation_pvalues(spark, d):
+    """Of folds with an even number of rows, for which the check has a closed form."""
     k = F.col("o_orderkey")
-    r = table(spark, d, "orders").select((k % 50).cast("int").alias("fold"), F.col("o_totalprice").alias("y_true"), (k % 13).alias("y_pred"))
-    return metrics.regression_scores(r, ["fold"]).select("fold", "corr", "corr_pvalue")
+    r = table(spark, d, "orders").select((k % 50).cast("int").alias("fold"), F.col("o_totalprice").alias("y_true"), (k * 7919 % 101).cast("double").alias("y_pred"))
+    return metrics.regression_scores(r, ["fold"]).where("n % 2 = 0").select("fold", F.round("corr", 6).alias("corr"), F.round("corr_pvalue", 4).alias("corr_pvalue"))
 
 
-@query()
+_BASE = f"""{_PRED}, cs as (select list(c order by n desc, c) as cs, list(n order by n desc, c) as ns from (select y_true as c, count(*) as n from pr group by all)),
+ub as (select cs, ns, list_transform(range(1, len(cs) + 1), lambda i: list_sum(list_transform(cs[1:i], lambda x: 1.0::double / len(cs)))) as u, list_transform(range(1, len(cs) + 1), lambda i: list_sum(list_transform(ns[1:i], lambda x: x::double / list_sum(ns)))) as f from cs),
+dr as (select *, {_DRAW.format(1)} as d1, {_DRAW.format(2)} as d2, {_DRAW.format(3)} as d3, {_DRAW.format(4)} as d4 from pr, ub),
+bl as (select row_id, fold, y_true, y_pred, 0 as all_zero, cs[least(len(list_filter(u, lambda b: b <= d1)) + 1, len(cs))] as uniform, cs[least(len(list_filter(f, lambda b: b <= d2)) + 1, len(cs))] as by_frequency,
+cs[least(1 + (d3 >= 0.5)::int + (d3 >= 1.0)::int, len(cs))] as two_largest, cs[least(1 + (d4 >= 0.5)::int + (d4 >= 0.75)::int + (d4 >= 1.0)::int, len(cs))] as three_largest from dr)"""
+
+
+@query(f"with {_BASE} select * from bl")
 def random_baselines(spark, d):
     return metrics.baselines(_predicted(spark, d))
 
@@ -682,21 +704,38 @@ def author_groups(spark, d):
     return _meta(spark, d).select("id", folds.author_group(F.col("file_name")).alias("author")).distinct()
 
 
-@query()
+_GROUPS = "mt as (select distinct id, file_name, pub_year from ger_texts_meta where file_name is not null), lb as (select file_name, max(sum_libraries) as y from ger_texts_circulating_libs where sum_libraries is not null group by file_name), am as (select split_part(file_name, '_', 1) || '_' || split_part(file_name, '_', 2) as author, case when coalesce(y, 0) > 0 then 1 else 0 end as y from mt left join lb using (file_name))"
+
+
+def _authored(spark, d):
+    m = labels.labelled_or_zero(_meta(spark, d).where("file_name is not null"), _library_counts(spark, d), "file_name").withColumn("y", F.when(F.col("y") > 0, 1).otherwise(0))
+    return m.withColumn("author", folds.author_group(F.col("file_name")))
+
+
+@query(f"""with recursive {_GROUPS}, g as (select author, count(*) as n from am group by author), o as (select author, n, row_number() over (order by n desc, 'all=' || n, md5(author || '|')) as i from g),
+r(i, author, f, load) as (select 0::bigint, ''::varchar, 0::bigint, [0, 0, 0, 0, 0]::bigint[] union all
+ select o.i, o.author, list_position(load, list_min(load)) - 1, list_transform(range(1, 6), lambda k: load[k] + case when k = list_position(load, list_min(load)) then o.n else 0 end) from r join o on o.i = r.i + 1)
+select author, f::int as fold from r where i > 0""")
 def group_kfold(spark, d):
-    return folds.group_folds(_meta(spark, d).withColumn("author", folds.author_group(F.col("file_name"))), "author", 5)
+    return folds.group_folds(_authored(spark, d), "author", 5)
 
 
-@query()
+@query(f"""with recursive {_GROUPS}, g as (select author, count(*) filter (where y = 0) as a, count(*) filter (where y = 1) as b from am group by author), t as (select sum(a)::double as ta, sum(b)::double as tb from g),
+o as (select author, a, b, row_number() over (order by round(abs(a - b) / 2.0::double, 9) desc, case when a = 0 then '1=' || b when b = 0 then '0=' || a else '0=' || a || chr(10) || '1=' || b end, md5(author || '|')) as i from g),
+r(i, author, f, la, lb) as (select 0::bigint, ''::varchar, 0::bigint, [0, 0, 0, 0, 0]::bigint[], [0, 0, 0, 0, 0]::bigint[] union all
+ select i, author, f, list_transform(range(1, 6), lambda k: la[k] + case when k = f + 1 then a else 0 end), list_transform(range(1, 6), lambda k: lb[k] + case when k = f + 1 then b else 0 end) from (
+  select o.i, o.author, o.a, o.b, la, lb, list_sort(list_transform(range(1, 6), lambda k: {{'s': round((list_stddev_pop(list_transform(range(1, 6), lambda j: (la[j] + case when j = k then o.a else 0 end)::double / ta)) + list_stddev_pop(list_transform(range(1, 6), lambda j: (lb[j] + case when j = k then o.b else 0 end)::double / tb))) / 2, 9), 'l': la[k] + lb[k], 'k': k}}))[1].k - 1 as f
+  from r join o on o.i = r.i + 1 cross join t))
+select author, f::int as fold from r where i > 0""")
 def stratified_group_kfold(spark, d):
-    m = labels.labelled_or_zero(_meta(spark, d), _library_counts(spark, d), "file_name").withColumn("y", F.when(F.col("y") > 0, 1).otherwise(0))
-    return folds.group_folds(m.withColumn("author", folds.author_group(F.col("file_name"))), "author", 5, "y")
+    return folds.group_folds(_authored(spark, d), "author", 5, "y")
 
 
-@query("with s as (select l_returnflag, count(*) as n from lineitem group by all) select l_returnflag, max(n) over () as n from s")
-def upsampled_sizes(spark, d):
-    li = table(spark, d, "lineitem").select("l_returnflag", F.xxhash64("l_orderkey", "l_linenumber").alias("row_id"))
-    return folds.upsampled(li, "l_returnflag", "row_id").groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"))
+@query("""with l as (select distinct l_orderkey * 10 + l_linenumber as row_id, l_returnflag from lineitem), s as (select l_returnflag, count(*) as n from l group by all), r as (select *, row_number() over (partition by l_returnflag order by md5(row_id || '|8')) as r, max(n) over () as m from l join s using (l_returnflag))
+select l_returnflag, row_id, (m // n + case when r <= m % n then 1 else 0 end)::bigint as copies from r""")
+def upsampled_rows(spark, d):
+    li = table(spark, d, "lineitem").select("l_returnflag", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row_id")).distinct()
+    return folds.upsampled(li, "l_returnflag", "row_id").groupBy("l_returnflag", "row_id").agg(F.count(F.lit(1)).alias("copies"))
 
 
 @query()

@@ -19,7 +19,7 @@ def listed(words: list[str]) -> str:
 def transliterated(x: str) -> str:
     for a, b in tx.SEVERAL.items():
         x = f"replace({x}, {quoted(a)}, {quoted(b)})"
-    return f"translate({x}, {quoted(tx.PLAIN_FROM)}, {quoted(tx.PLAIN_TO)})"
+    return f"translate({x}, {quoted(tx.ALL_FROM)}, {quoted(tx.ALL_TO)})"
 
 
 def normalised(x: str) -> str:
@@ -83,3 +83,10 @@ CENT = EMB + """, m as (
 
 def distance(a: str, b: str) -> str:
     return f"sqrt(list_sum(list_transform(list_zip({a}, {b}), lambda z: (z[1] - z[2]) * (z[1] - z[2]))))"
+
+#: Greedy packing of sentences into paragraphs of at most 60 words, CTEs up to p (doc_id, para_id, paragraph).
+PACKED = """s as (select doc_id, unnest(generate_series(1, len(sentences))) as i, unnest(sentences) as x from d0),
+n as (select doc_id, i, x, len(list_filter(string_split(x, ' '), lambda w: w <> '')) as k from s), o as (select doc_id, row_number() over (partition by doc_id order by i) as i, x, k from n where k <= 60),
+r(doc_id, i, para, k, x) as (select doc_id, i, 0, k, x from o where i = 1 union all
+ select o.doc_id, o.i, case when r.k + o.k <= 60 or r.k = 0 then r.para else r.para + 1 end, case when r.k + o.k <= 60 or r.k = 0 then r.k + o.k else o.k end, o.x from r join o on o.doc_id = r.doc_id and o.i = r.i + 1),
+p as (select doc_id, para::int as para_id, array_to_string(list(x order by i), ' ') as paragraph from r group by all)"""

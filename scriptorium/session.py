@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 import zipfile
@@ -34,12 +35,6 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """``df`` over all cores, if it is read in fewer splits than there are; such a table is a few files. Others stay."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``, or a temporary one where that is unset and the
     master is local. A cluster without the setting is an error, as a machine's own folder is no shared one."""
@@ -53,11 +48,34 @@ def shared_folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+_left: list = []
+
+
+@atexit.register
+def release() -> None:
+    """Delete all tables that ``scratch`` named and nothing has deleted yet. Runs at the driver's end; a long session may call it
+    between queries, after whose results have been taken no plan reads them."""
+    while _left:
+        fs, path = _left.pop()
+        try:
+            fs.delete(path, True)
+        except Exception:  # the JVM may have gone first
+            return
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, deleted at the latest when the driver ends."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    _left.append((p.getFileSystem(spark._jsc.hadoopConfiguration()), p))
+    return path
+
+
 def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     """``df`` written to the shared folder and read again. Its lineage ends there, so that a lost executor costs no
     earlier stage; columns are stored encoded and compressed, which a checkpoint's rows aren't."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scriptorium_path = path

@@ -15,6 +15,8 @@ SCHEMAS = {
     "review_scores": "sentiscore_average double, sentiment_Textblob double, textfile string, journal string, text_id int, file_name string",
     "review_classes": "sentiscore_average double, sentiment_Textblob double, textfile string, journal string, text_id int, file_name string, classified string, sentiment double",
     "testset": "textfile string, class int",
+    "predictions": "fold int, row_id bigint, y_true double, y_pred double",
+    "cv_results": "fold int, features string, combo_id string, model string, params string, split int, metric double, pvalue double",
 }
 
 
@@ -25,7 +27,7 @@ def stem(path):
 
 def texts(spark: SparkSession, folder: str, limit: int | None = None, strip: bool = True) -> DataFrame:
     """(file_name, text) of the ``*.txt`` files of a folder; with ``limit`` the first by name."""
-    df = spark.read.text(folder, wholetext=True, pathGlobFilter="*.txt").select(stem(F.col("_metadata.file_path")).alias("file_name"), (F.trim("value") if strip else F.col("value")).alias("text"))
+    df = spark.read.text(folder, wholetext=True, pathGlobFilter="*.txt").select(stem(F.col("_metadata.file_path")).alias("file_name"), (tx.stripped(F.col("value")) if strip else F.col("value")).alias("text"))
     return df if limit is None else df.orderBy("file_name").limit(limit)
 
 
@@ -39,7 +41,7 @@ def reviews(spark: SparkSession, folder: str) -> DataFrame:
 def lines(spark: SparkSession, path: str) -> DataFrame:
     """(line_no, line) of text files with a record per line, stripped; numbers from 0 within a file."""
     whole = spark.read.text(path, wholetext=True)
-    return whole.select(F.posexplode(F.split(F.regexp_replace("value", "\n$", ""), "\n")).alias("line_no", "line")).withColumn("line", F.trim("line"))
+    return whole.select(F.posexplode(F.split(F.regexp_replace("value", "\n$", ""), "\n")).alias("line_no", "line")).withColumn("line", tx.stripped(F.col("line")))
 
 
 def vectors(spark: SparkSession, path: str) -> DataFrame:
@@ -47,6 +49,20 @@ def vectors(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def token_lists(spark: SparkSession, path: str) -> DataFrame:
+    """(key, tokens) of cached reviews, tokens being an array of sentences' words: a JSON object per line."""
+    return spark.read.schema("key string, tokens array<array<string>>").json(path)
+
+
+def conll(spark: SparkSession, path: str) -> DataFrame:
+    """(sent_id, words, tags, chunks) of files with a line per word, ``word tag chunk``, and blank lines between sentences. A file
+    is read as one row; such training files are small."""
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.explode(F.split(F.regexp_replace("value", "\r", ""), r"\n\s*\n")).alias("s"))
+    rows = whole.withColumn("l", F.filter(F.transform(F.split("s", "\n"), lambda x: F.split(F.trim(x), r"\s+")), lambda x: F.size(x) >= 3)).where(F.size("l") > 0)
+    part = lambda i: F.transform("l", lambda x: x[i])
+    return rows.select(F.xxhash64("file", "s").alias("sent_id"), part(0).alias("words"), part(1).alias("tags"), part(2).alias("chunks"))
+
+
 def separated(spark: SparkSession, path: str, schema: str | T.StructType, sep: str = ";", null: str = "") -> DataFrame:
     """A separated file with header and a schema, or the name of one of SCHEMAS."""
     return spark.read.schema(SCHEMAS.get(schema, schema) if isinstance(schema, str) else schema).csv(path, sep=sep, header=True, nullValue=null, nanValue="NaN")

@@ -11,6 +11,11 @@ def lines(df: DataFrame, column: str, path: str) -> None:
     df.select(F.col(column).cast("string").alias("value")).write.mode("overwrite").text(path)
 
 
+def token_lists(df: DataFrame, key: str, tokens: str, path: str) -> None:
+    """Cached reviews: a JSON object per line with the review's key and its sentences' words."""
+    df.select(F.col(key).cast("string").alias("key"), F.col(tokens).alias("tokens")).write.mode("overwrite").json(path)
+
+
 def vectors(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
@@ -40,7 +45,7 @@ def model(fitted, path: str) -> None:
 
 
 def latex(table: DataFrame, rows: str = "y_true", columns: str = "y_pred", value: str = "n") -> str:
-    """A small table with margins as LaTeX; the table has a row per pair of classes."""
+    """A small table with margins as LaTeX; the table has a row per pair of classes, of which there are at most 1,000."""
     cells = {(r[rows], r[columns]): r[value] for r in table.collect()}
     heads = sorted({c for _, c in cells}, key=lambda c: (c == "All", c))
     sides = sorted({r for r, _ in cells}, key=lambda r: (r == "All", r))

@@ -42,3 +42,20 @@ def test_entry_without_llm():
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_white_space_and_token_lists(spark, tmp_path):
+    from scriptorium.sources import sinks
+
+    (tmp_path / "t").mkdir()
+    (tmp_path / "t" / "A_B_C_1.txt").write_text("\t\u00a0 Text \r\n", encoding="utf-8")
+    assert readers.texts(spark, str(tmp_path / "t")).first().text == "Text"
+    df = spark.createDataFrame([(1, [["a", "b"], []])], "k int, t array<array<string>>")
+    sinks.token_lists(df, "k", "t", str(tmp_path / "lists"))
+    assert [tuple(r) for r in readers.token_lists(spark, str(tmp_path / "lists")).collect()] == [("1", [["a", "b"], []])]
+
+
+def test_conll(spark, tmp_path):
+    (tmp_path / "c.txt").write_text("The DT B-NP\ndog NN I-NP\n\nBarks VBZ B-VP\n", encoding="utf-8")
+    got = {tuple(r.words): (r.tags, r.chunks) for r in readers.conll(spark, str(tmp_path / "c.txt")).collect()}
+    assert got == {("The", "dog"): (["DT", "NN"], ["B-NP", "I-NP"]), ("Barks",): (["VBZ"], ["B-VP"])}

@@ -6,7 +6,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from scriptorium.functions import stats
-from scriptorium.operators import describe, features, folds, geometry, labels, metrics, models, sentiment
+from scriptorium.operators import chunker, describe, features, folds, geometry, joins, labels, metrics, models, sentiment
 
 
 def test_majority_tie_and_numbers(spark):
@@ -62,8 +62,10 @@ def test_geometry(spark):
 @settings(max_examples=40, deadline=None)
 @given(st.dictionaries(st.text("abcdef", min_size=1, max_size=3), st.dictionaries(st.sampled_from("01"), st.integers(1, 30), min_size=1), min_size=1, max_size=30), st.booleans())
 def test_placing_is_whole(units, stratified):
-    got = folds._place(units, 3, stratified)
-    assert set(got) == set(units) and set(got.values()) <= {0, 1, 2}
+    members = {k: 1 + len(k) * 7 for k in units}
+    got = folds._place(units, 3, stratified, members)
+    assert {k: sum(n for _, n in runs) for k, runs in got.items()} == members
+    assert {f for runs in got.values() for f, _ in runs} <= {0, 1, 2}
 
 
 def test_group_folds(spark):
@@ -168,3 +170,70 @@ def test_nested_cv_is_registered_in_full(spark, tmp_path, monkeypatch):
     catalog.nested_cv(spark, str(tmp_path))
     assert (seen["outer"], seen["inner"], seen["testing"]) == (5, 5, False) and len(seen["columns"]) > 4
     assert {t for c, t in seen["data"].dtypes if c in seen["columns"]} <= {"double", "bigint", "int", "float"}
+
+
+def test_many_groups_of_a_kind(spark, monkeypatch):
+    df = spark.createDataFrame([(f"a{i}",) for i in range(300)] + [("big",)] * 40, "author string")
+    whole = folds.group_folds(df, "author", 5).join(df, "author").groupBy("fold").count().collect()
+    assert {r["count"] for r in whole} == {68}
+    monkeypatch.setattr(folds, "STEPS", 20)
+    coarse = folds.group_folds(df, "author", 5).join(df, "author").groupBy("fold").count().collect()
+    assert len(coarse) == 5 and max(r["count"] for r in coarse) - min(r["count"] for r in coarse) <= 15
+
+
+def test_hashed_rank(spark):
+    df = spark.createDataFrame([(i % 3, i) for i in range(1000)], "g int, k bigint")
+    got = joins.hashed_rank(df, ["g"], "k", 8).collect()
+    for g in range(3):
+        assert sorted(r["rank"] for r in got if r.g == g) == list(range(1, len([1 for i in range(1000) if i % 3 == g]) + 1))
+
+
+def test_trained_chunker(spark):
+    rows = [(["DET", "ADJ", "NOUN", "VERB"], ["B-NP", "I-NP", "I-NP", "B-VP"]), (["NOUN", "VERB", "DET", "NOUN", "ADP"], ["B-NP", "B-VP", "B-NP", "I-NP", "O"])] * 3
+    df = spark.createDataFrame(rows, "tags array<string>, chunks array<string>")
+    model = chunker.train(df)
+    out = df.select("chunks", chunker.chunk_tags(F.col("tags"), model).alias("c"), "tags")
+    assert all(r.c == r.chunks for r in out.collect())
+    first = out.select(chunker.productions(F.col("tags"), F.col("c")).alias("p")).first().p
+    assert first == ["NP->DET_ADJ_NOUN", "VP->VERB", "S->NP_VP"]
+    assert chunker.train(df.limit(0)) == {}
+
+
+def test_dataset_tasks(spark):
+    x = spark.createDataFrame([("Tieck_Ludwig_Adbdallah_1792", 1.0), ("b", 2.0), ("c", 3.0)], "file_name string, f double")
+    y = spark.createDataFrame([("Tieck_Ludwig_Abdallah_1792", 3), ("b", 1)], "file_name string, y int")
+    years = spark.createDataFrame([("Tieck_Ludwig_Abdallah_1792", 1792), ("b", 1902), ("c", 1784)], "file_name string, pub_year int")
+    of = lambda task: {(r.file_name, r.y) for r in labels.dataset(x, y, task, "ger", years).collect()}
+    assert of("regression") == {("b", 1)}
+    assert of("library") == {("Tieck_Ludwig_Adbdallah_1792", 3), ("c", 0)}
+    assert of("multiclass") == {("Tieck_Ludwig_Adbdallah_1792", 3), ("b", 1)}
+
+
+def test_selected_and_reduced_features(spark):
+    df = spark.createDataFrame([(float(i), float(i % 5), float(-i), i % 2) for i in range(40)], "a double, b double, c double, y int")
+    from pyspark.ml.regression import LinearRegression
+
+    fitted = models.pipeline(["a", "b", "c"], models.estimator("regression", "lasso", {"share": 0.01, "steps": 10}), components=2, percentile=0.9).fit(df.withColumn("y", F.col("a") * 2))
+    assert isinstance(models.estimator("regression", "lasso", {"share": 0.01, "steps": 10}), LinearRegression)
+    assert fitted.transform(df).select("features").first()[0].size == 2
+
+
+def test_evaluation_bundle(spark):
+    df = spark.createDataFrame([(i, i % 3, i % 2) for i in range(30)], "row_id int, y_true int, y_pred int")
+    got = metrics.evaluation(df)
+    assert {r.baseline for r in got["baselines"].collect()} == set(metrics.BASELINES) and got["scores"].count() == 1
+    assert {r.metric for r in metrics.scored(df, "library").collect()} == {"balanced_accuracy"}
+
+
+def test_overlap_of_many_vectors(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    rows = [(i, f"g{i % 7}", (rng.standard_normal(4) + (i % 7) / 2).tolist()) for i in range(700)]
+    df = spark.createDataFrame(rows, "k int, g string, v array<double>")
+    x, g = np.array([r[2] for r in rows]), np.array([r[1] for r in rows])
+    want = {}
+    for name in sorted(set(g)):
+        near = np.argsort(np.sqrt(((x - x[g == name].mean(axis=0)) ** 2).sum(axis=1)), kind="stable")[: (g == name).sum()]
+        want[name] = float((g[near] != name).mean())
+    assert {r.g: r.overlap_score for r in geometry.overlap(df, "g", "k", "v").collect()} == want

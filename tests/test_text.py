@@ -91,3 +91,9 @@ def test_review_key(spark):
     df = spark.createDataFrame([("00042_1861_The-Journal_rest",), ("odd",)], "s string")
     i, y, j = tx.review_key(F.col("s"))
     assert [tuple(r) for r in df.select(i, y, j).collect()] == [(42, 1861, "The-Journal"), (None, None, None)]
+
+
+def test_other_scripts_have_words(spark):
+    df = spark.createDataFrame([("Ο κήπος",), ("ёлка в саду",), ("बाग़",), ("สวน",), ("かがみ",)], "s string")
+    got = [r.n for r in df.select(tx.normalised(F.col("s")).alias("n")).collect()]
+    assert got[0] == "o kepos" and got[1] == "ilka v sadu" and all(got)
