@@ -5,8 +5,10 @@ features; Viterbi decoding yields the labels, and paragraphs are put together fr
 rules and is re-estimated by expectation-maximisation on at most SAMPLE_TEXTS texts; word counts, which decide on broken
 and misread words, cover all texts.
 
-Of the words the KNOWN_WORDS commonest of each language are sent to the executors. A word is misread if it is neither
-known nor made of two known words and an exchange of characters that print confuses makes it so.
+A word is misread if it is neither known nor made of two known words and an exchange of characters that print confuses makes
+it so. Of the known words of all languages the KNOWN_WORDS commonest are sent to the executors; if there are more, the other
+words of each text are judged once each by a join with the rest, and each text gets the judgements of its own words. Both
+ways give the same result.
 
 Results for special inputs: null and empty texts have no lines; lines are counted from 1 and split at line feeds, a
 carriage return belongs to no line; repeated rows count once.
@@ -22,16 +24,16 @@ from difflib import SequenceMatcher
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.llm.sentences import language
 from scriptorium.session import materialize
 
 SAMPLE_TEXTS, ROUNDS = 400, 4
-KNOWN_WORDS, KNOWN_FROM = 60_000, 2
-#: Languages whose words go to the executors at a time; of more, each block is a pass over the texts.
-LANGUAGES = 32
+KNOWN_WORDS, KNOWN_FROM = 400_000, 2
+#: Longest word that is counted: longer runs of letters are no words.
+LONGEST = 64
 FURNITURE, BODY, BREAK = 0, 1, 2
 FEATURES = (9, 4, 3, 3, 2, 2, 3)
 
@@ -237,21 +239,44 @@ class LineModel:
         return out[::-1]
 
 
+def _exchanges(w: str) -> Iterator[tuple[int, str]]:
+    """(place, word) with one exchange of characters that print confuses."""
+    for i in range(len(w)):
+        for size in (1, 2):
+            for new in CONFUSED.get(w[i : i + size], ()) if i + size <= len(w) else ():
+                yield i, w[:i] + new + w[i + size :]
+
+
+def _of_digits(w: str) -> Iterator[str]:
+    """Words with one digit exchanged for what print confuses it with."""
+    for j, c in enumerate(w):
+        for new in CONFUSED.get(c, ()) if c.isdigit() else ():
+            yield w[:j] + new + w[j + 1 :]
+
+
+def _cases(v: str) -> tuple[str, str, str]:
+    return v, v[0].lower() + v[1:], v[0].upper() + v[1:]
+
+
+def _halves(low: str) -> list[tuple[str, str]]:
+    return [(low[:i], low[i:]) for i in range(3, len(low) - 2)]
+
+
 class Words:
     """The known words of one language."""
 
-    def __init__(self, words: list[str]):
+    def __init__(self, words: list[str], low: list[str] = ()):
         self.known = set(words)
-        self.low = {w.lower() for w in words}
+        self.low = {*(w.lower() for w in words), *low}
         self._bad: dict[str, tuple[int, str] | None] = {}
 
     def good(self, w: str) -> bool:
         low = w.lower()
-        return w in self.known or low in self.low or any(low[:i] in self.low and low[i:] in self.low for i in range(3, len(low) - 2))
+        return w in self.known or low in self.low or any(a in self.low and b in self.low for a, b in _halves(low))
 
     def misread(self, w: str) -> tuple[int, str] | None:
         """(place, what it should be) if a word has a misrecognised character, else null."""
-        if w in self.known:
+        if w in self.known or len(w) > LONGEST:
             return None
         if w in self._bad:
             return self._bad[w]
@@ -269,43 +294,78 @@ class Words:
         return out
 
     def _repair(self, w: str) -> tuple[int, str] | None:
-        found = []
-        for i in range(len(w)):
-            for size in (1, 2):
-                for new in CONFUSED.get(w[i : i + size], ()) if i + size <= len(w) else ():
-                    v = w[:i] + new + w[i + size :]
-                    if len(v) > 1 and not any(c.isdigit() for c in v) and (v in self.known or (v[0].lower() + v[1:]) in self.known or (v[0].upper() + v[1:]) in self.known):
-                        return i, v
-                    found.append((i, v))
+        found = list(_exchanges(w))
+        for i, v in found:
+            if len(v) > 1 and not any(c.isdigit() for c in v) and any(x in self.known for x in _cases(v)):
+                return i, v
         if len(w) >= 6:
             for i, v in found:
                 if not any(c.isdigit() for c in v) and self.good(v):
                     return i, v
-            for i, v in found:
-                # a second exchange, which words with digits need most
-                if any(c.isdigit() for c in w):
-                    for j in range(len(v)):
-                        for new in CONFUSED.get(v[j], ()) if v[j].isdigit() else ():
-                            u = v[:j] + new + v[j + 1 :]
-                            if self.good(u):
-                                return i, u
+            if any(c.isdigit() for c in w):  # a second exchange, which words with digits need most
+                for i, v in found:
+                    for u in _of_digits(v):
+                        if self.good(u):
+                            return i, u
         return None
 
+    def breaks(self, first: str, second: str) -> bool:
+        """Whether two parts with a hyphen between them are one broken word, rather than a word spelt with a hyphen."""
+        head = re.split("-", first)[-1]
+        joined = head + second
+        if joined in self.known or joined.lower() in self.low:
+            return True
+        if f"{first}-{second}" in self.known:
+            return False
+        a, b = head.lower() in self.low, second in self.low
+        return self.good(joined) or self.misread(joined) is not None or not (a and b and len(head) > 2 and len(second) > 2)
+
+
+class ToldWords(Words):
+    """The commonest words of a language, and the judgements of all other words of a text."""
+
+    def __init__(self, common: Words, told: list[dict]):
+        self.known, self.low = common.known, common.low
+        self.bad = {t["a"]: (t["place"], t["right"]) for t in told if t["b"] == ""}
+        self.broken = {(t["a"], t["b"]) for t in told if t["b"] != ""}
+
+    def misread(self, w: str) -> tuple[int, str] | None:
+        return None if w in self.known else self.bad.get(w)
+
+    def breaks(self, first: str, second: str) -> bool:
+        return (first, second) in self.broken
+
+
+def probes(a: str, b: str) -> set[tuple[bool, str]]:
+    """All (as written, word) that the judgement of a word, or of a word broken into ``a`` and ``b``, may look up."""
+
+    def good(w: str) -> set[tuple[bool, str]]:
+        low = w.lower()
+        return {(True, w), (False, low), *((False, h) for pair in _halves(low) for h in pair)}
+
+    def misread(w: str) -> set[tuple[bool, str]]:
+        out = good(w)
+        for _, v in _exchanges(w):
+            if v:
+                out |= {(True, x) for x in _cases(v)}
+                if len(w) >= 6:
+                    out |= good(v)
+                    if any(c.isdigit() for c in w):
+                        for u in _of_digits(v):
+                            out |= good(u)
+        return out
+
+    if not b:
+        return misread(a)
+    head = re.split("-", a)[-1]
+    return misread(head + b) | {(True, f"{a}-{b}"), (False, head.lower()), (False, b)}
+
 
 def _breaks(first: str, second: str, mark: str, words: Words) -> bool:
     """Whether a word is broken between two lines, rather than spelt with a hyphen."""
     if second in JOINERS or not second[:1].islower():
         return False
-    if mark != "-":
-        return True
-    head = re.split("-", first)[-1]
-    joined = head + second
-    if joined in words.known or joined.lower() in words.low:
-        return True
-    if f"{first}-{second}" in words.known:
-        return False
-    a, b = head.lower() in words.low, second in words.low
-    return words.good(joined) or words.misread(joined) is not None or not (a and b and len(head) > 2 and len(second) > 2)
+    return mark != "-" or len(first) + len(second) <= LONGEST and words.breaks(first, second)
 
 
 def _wrong_words(line: str, words: Words, carried: str, broken: bool) -> list[tuple[int, int, int, str]]:
@@ -326,14 +386,32 @@ def _wrong_words(line: str, words: Words, carried: str, broken: bool) -> list[tu
     return out
 
 
+def _labels(lines: list[str], title: str, model: LineModel) -> list[int]:
+    features = line_features(lines, title)
+    if any(f is not None and f[0] < 7 for f in features):
+        return model.label(features)
+    return [BREAK if f is None else BODY for f in features]  # no line has a header's form
+
+
+def asked_words(text: str, title: str, model: LineModel, known: set[str]) -> set[tuple[str, str]]:
+    """What ``examine`` may ask of a text's words that are none of ``known``: (word, nothing) and (part before, part behind) of
+    words that may be broken."""
+    lines = [x.rstrip("\r") for x in text.split("\n")]
+    body = [lines[i].strip() for i, s in enumerate(_labels(lines, title, model)) if s == BODY]
+    out = set()
+    for line, after in zip(body, [*body[1:], ""]):
+        out |= {(w, "") for w in _word.findall(line) if w not in known}
+        if after and line[-1:] in HYPHENS and (m := _last_word.search(line)) and (n := _first_word.match(after)):
+            out.add((m.group(1), n.group(1)))
+            first = _word.search(after)
+            out.add((m.group(1).split("-")[-1] + (first.group() if first else ""), ""))
+    return out
+
+
 def examine(text: str, title: str, model: LineModel, words: Words, repair: bool = True) -> tuple[list[tuple[int, str]], list[str]]:
     """((line, problem) of a text's lines, its repaired paragraphs if asked for)."""
     lines = [x.rstrip("\r") for x in text.split("\n")]
-    features = line_features(lines, title)
-    if any(f is not None and f[0] < 7 for f in features):
-        labels = model.label(features)
-    else:  # no line has a header's form
-        labels = [BREAK if f is None else BODY for f in features]
+    labels = _labels(lines, title, model)
     body = [i for i, s in enumerate(labels) if s == BODY]
     problems = [(i + 1, "furniture") for i, s in enumerate(labels) if s == FURNITURE]
     paragraphs: list[str] = []
@@ -398,16 +476,27 @@ def known_words(texts: DataFrame) -> DataFrame:
                 yield from flush()
         yield from flush()
 
-    raw = texts.where("text <> ''").select("lang", "origin", "text").mapInArrow(count, "lang string, typed boolean, word string, n bigint")
-    counts = raw.groupBy("lang", "word").agg(F.sum(F.when(F.col("typed"), F.col("n")).otherwise(0)).alias("typed"), F.sum("n").alias("n"))
-    any_typed = F.max("typed").over(Window.partitionBy("lang")) > 0  # a partition per language, read in sorted runs
-    ranked = counts.withColumn("score", F.when(any_typed, F.col("typed")).otherwise(F.col("n"))).where(F.col("score") >= KNOWN_FROM)
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), "word")
-    return ranked.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= KNOWN_WORDS).select("lang", "word", F.col("score").alias("n"))
+    raw = texts.where("text <> ''").select("lang", "origin", "text").mapInArrow(count, "lang string, typed boolean, word string, n bigint").where(F.char_length("word") <= LONGEST)
+    counts = materialize(raw.groupBy("lang", "word").agg(F.sum(F.when(F.col("typed"), F.col("n")).otherwise(0)).alias("typed"), F.sum("n").alias("n")), "word-counts")
+    any_typed = counts.groupBy("lang").agg((F.max("typed") > 0).alias("any_typed"))
+    score = F.when(F.col("any_typed"), F.col("typed")).otherwise(F.col("n"))
+    return counts.join(F.broadcast(any_typed), "lang").select("lang", "word", score.alias("n")).where(F.col("n") >= KNOWN_FROM)  # a row per language code
+
+
+def _commonest(known: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(the commonest words, at most KNOWN_WORDS, the rest or null): words are told apart by steps of their count."""
+    step = F.floor(F.log2("n") * 8).cast("int")
+    upto, least = 0, None
+    for r in sorted(known.groupBy(step.alias("step")).count().collect(), key=lambda r: -r.step):  # 8 * 63 rows at most
+        upto += r["count"]
+        if upto > KNOWN_WORDS:
+            least = r.step + 1
+            break
+    return (known, None) if least is None else (known.where(step >= least), known.where(step < least))
 
 
-def _prepared(texts: DataFrame) -> list[tuple[DataFrame, object]]:
-    """The texts that have lines, and what the executors need for them: line model and known words by language."""
+def _prepared(texts: DataFrame):
+    """(rows that have lines, line model and commonest words by language as a broadcast, the rest of the known words or null)."""
     rows = texts.where("text <> '' and item_key is not null").select("src_table", "item_key", "lang", "name", "journal", "text")
     spread = F.xxhash64("src_table", "item_key", "text")
     total = rows.count()
@@ -415,31 +504,83 @@ def _prepared(texts: DataFrame) -> list[tuple[DataFrame, object]]:
     sample = rows.where(F.pmod(spread, F.lit(1 << 20)) < int(share * (1 << 20)) + 1).orderBy(spread).limit(SAMPLE_TEXTS).collect()
     coded = [line_features([x.rstrip("\r") for x in r.text.split("\n")], title_of(r.src_table, r.name, r.journal)) for r in sample]
     model = LineModel.fit(coded)
-    known = materialize(known_words(texts), "known-words")
-    send = texts.sparkSession.sparkContext.broadcast
-    languages = sorted(r.lang for r in known.select("lang").distinct().collect())  # codes of two or three letters
+    common, rest = _commonest(materialize(known_words(texts), "known-words"))
+    words = defaultdict(list)
+    for r in common.select("lang", "word").collect():
+        words[r.lang].append(r.word)
+    return rows, texts.sparkSession.sparkContext.broadcast((model, dict(words))), rest
+
+
+def _judged(rows: DataFrame, shared, rest: DataFrame) -> DataFrame:
+    """``rows`` with ``told``: the judgements, other than that nothing is wrong, of the words and broken words of each text that
+    the commonest words don't decide. Each different one is judged once, by those of its probes that are known."""
+    numbered = rows.distinct().select(F.xxhash64("src_table", "item_key", "text", F.coalesce("lang", F.lit("\0")), F.coalesce("name", F.lit("\0")), F.coalesce("journal", F.lit("\0"))).alias("row"), "*")
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, vocabulary = shared.value[0], _vocabularies(shared.value[1])
+        for batch in batches:
+            out: list[tuple] = []
+            for row, src, lang, name, journal, text in zip(*(batch.column(k).to_pylist() for k in (0, 1, 3, 4, 5, 6))):
+                lang = language(lang, text)
+                out += [(row, lang, a, b) for a, b in asked_words(text, title_of(src, name, journal), model, vocabulary[lang].known) if len(a) + len(b) <= LONGEST]
+            cols = list(zip(*out)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *(pa.array(c, pa.string()) for c in cols[1:])], names=["row", "lang", "a", "b"])
+
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1_000):
+                part = batch.slice(at, 1_000)
+                out = [(i, exact, w) for i, (a, b) in enumerate(zip(part.column(1).to_pylist(), part.column(2).to_pylist())) for exact, w in probes(a, b)]
+                cols = list(zip(*out)) or [[]] * 3
+                where = pa.array(cols[0], pa.int64())
+                yield pa.RecordBatch.from_arrays([*(part.column(k).take(where) for k in range(3)), pa.array(cols[1], pa.bool_()), pa.array(cols[2], pa.string())], names=["lang", "a", "b", "exact", "word"])
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = _vocabularies(shared.value[1])
+        for batch in batches:
+            where, places, rights = [], [], []
+            for i, (lang, a, b, found) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(4)))):
+                words = Words([])
+                common = vocabulary[lang]
+                hits = probes(a, b)
+                words.known = {w for e, w in hits if e and w in common.known} | {f["word"] for f in found or () if f["exact"]}
+                words.low = {w for e, w in hits if not e and w in common.low} | {f["word"] for f in found or () if not f["exact"]}
+                wrong = ((0, "") if words.breaks(a, b) else None) if b else words.misread(a)
+                if wrong:
+                    where.append(i)
+                    places.append(wrong[0])
+                    rights.append(wrong[1])
+            at = pa.array(where, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(at) for k in range(3)), pa.array(places, pa.int32()), pa.array(rights, pa.string())], names=["lang", "a", "b", "place", "right"])
 
-    def words(of: list[str]) -> dict[str, list[str]]:
-        out = defaultdict(list)
-        for r in known.where(F.col("lang").isin(of)).select("lang", "word").collect():
-            out[r.lang].append(r.word)
-        return dict(out)
+    asked = materialize(numbered.mapInArrow(ask, "row bigint, lang string, a string, b string"), "asked")
+    things = asked.select("lang", "a", "b").distinct()
+    have = rest.select("lang", F.lit(True).alias("exact"), "word").unionByName(rest.select("lang", F.lit(False).alias("exact"), F.lower("word").alias("word")).distinct())
+    found = things.mapInArrow(probe, "lang string, a string, b string, exact boolean, word string").join(have, ["lang", "exact", "word"])
+    found = found.groupBy("lang", "a", "b").agg(F.collect_set(F.struct("exact", "word")).alias("found"))  # a word's probes
+    judged = things.join(found, ["lang", "a", "b"], "left").select("lang", "a", "b", "found").mapInArrow(judge, "lang string, a string, b string, place int, right string")
+    told = asked.join(judged, ["lang", "a", "b"]).groupBy("row").agg(F.collect_list(F.struct("a", "b", "place", "right")).alias("told"))  # a text's own words
+    return numbered.join(told, "row", "left").select("src_table", "item_key", "lang", "name", "journal", "text", "told")
 
-    if len(languages) <= LANGUAGES:
-        return [(rows, send((model, words(languages))))]
-    told = rows.withColumn("told", F.udf(language, "string")("lang", "text"))
-    blocks = [languages[i : i + LANGUAGES] for i in range(0, len(languages), LANGUAGES)]
-    out = [(told.where(F.col("told").isin(b)).drop("told"), send((model, words(b)))) for b in blocks]
-    return [*out, (told.where(~F.col("told").isin(languages)).drop("told"), send((model, {})))]
 
+def _over(texts: DataFrame, one, names: list[str], types: list, schema: str) -> DataFrame:
+    """The rows that ``one(text, title, model, words)`` gives for all texts, each once."""
+    rows, shared, rest = _prepared(texts)
 
-def _over(texts: DataFrame, make, schema: str) -> DataFrame:
-    """The rows that ``make(shared)`` gives for all texts, each once."""
-    out = None
-    for rows, shared in _prepared(texts):
-        part = rows.mapInArrow(make(shared), schema)
-        out = part if out is None else out.unionByName(part)
-    return out.distinct()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, vocabulary = shared.value[0], _vocabularies(shared.value[1])
+        for batch in batches:
+            where, found = [], []
+            told = batch.column(6).to_pylist() if batch.num_columns > 6 else None
+            for i, (src, _, lang, name, journal, text) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(6)))):
+                words = vocabulary[language(lang, text)]
+                own = one(text, title_of(src, name, journal), model, words if told is None else ToldWords(words, told[i] or []))
+                where += [i] * len(own)
+                found += own
+            at, cols = pa.array(where, pa.int64()), list(zip(*found)) or [[]] * len(types)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *(pa.array(c, t) for c, t in zip(cols, types))], names=["src_table", "item_key", *names])
+
+    return (rows if rest is None else _judged(rows, shared, rest)).mapInArrow(run, schema).distinct()
 
 
 def _vocabularies(words: dict[str, list[str]]) -> dict[str, Words]:
@@ -450,35 +591,11 @@ def _vocabularies(words: dict[str, list[str]]) -> dict[str, Words]:
 
 def line_problems(texts: DataFrame) -> DataFrame:
     """(src_table, item_key, line_no, problem) of all texts (src_table, item_key, lang, origin, name, journal, text)."""
-
-    def run(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
-        model, vocabulary = shared.value[0], _vocabularies(shared.value[1])
-        for batch in batches:
-            where, numbers, kinds = [], [], []
-            for i, (src, _, lang, name, journal, text) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(6)))):
-                for line, problem in examine(text, title_of(src, name, journal), model, vocabulary[language(lang, text)], repair=False)[0]:
-                    where.append(i)
-                    numbers.append(line)
-                    kinds.append(problem)
-            at = pa.array(where, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(numbers, pa.int32()), pa.array(kinds, pa.string())], names=["src_table", "item_key", "line_no", "problem"])
-
-    return _over(texts, lambda shared: lambda batches: run(batches, shared), "src_table string, item_key bigint, line_no int, problem string")
+    one = lambda *a: examine(*a, repair=False)[0]
+    return _over(texts, one, ["line_no", "problem"], [pa.int32(), pa.string()], "src_table string, item_key bigint, line_no int, problem string")
 
 
 def repaired(texts: DataFrame) -> DataFrame:
     """(src_table, item_key, paragraph_no, paragraph) of all texts, in order from 0."""
-
-    def run(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
-        model, vocabulary = shared.value[0], _vocabularies(shared.value[1])
-        for batch in batches:
-            where, numbers, out = [], [], []
-            for i, (src, _, lang, name, journal, text) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(6)))):
-                for n, p in enumerate(examine(text, title_of(src, name, journal), model, vocabulary[language(lang, text)])[1]):
-                    where.append(i)
-                    numbers.append(n)
-                    out.append(p)
-            at = pa.array(where, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(numbers, pa.int32()), pa.array(out, pa.string())], names=["src_table", "item_key", "paragraph_no", "paragraph"])
-
-    return _over(texts, lambda shared: lambda batches: run(batches, shared), "src_table string, item_key bigint, paragraph_no int, paragraph string")
+    one = lambda *a: list(enumerate(examine(*a)[1]))
+    return _over(texts, one, ["paragraph_no", "paragraph"], [pa.int32(), pa.string()], "src_table string, item_key bigint, paragraph_no int, paragraph string")

@@ -265,13 +265,26 @@ def test_vote_reliabilities():
     assert got[(1, 1, 1, 0, 0)] > 0.95 and got[(1, 0, 0, 0, -1)] < 0.05
 
 
-def test_languages_in_blocks(spark, monkeypatch):
-    page = "Das alte Haus sah den Garten.\nDie Ernte war gut.\n17\nDas alte Haus sah den Garten. Die Ernte war gut."
-    rows = [("reviews", i, lang, "keyed", None, None, page) for i, lang in enumerate(("de", "en", "fr", "xx"))]
+def test_words_beyond_the_commonest_are_judged_alike(spark, monkeypatch):
+    typed = "Das alte Haus sah den Garten. Die Ernte war gut. Der Turm und die Stadt. Man sah Haus-Turm und Ernte-Garten. " * 4
+    page = ["Das alte Haus sah den Gar-", "ten. Die Ernte war", "DER ALTE GARTEN   12", "gut. Dcr Turm und 1n Stadt", "die Stadt. Man sah Ufer-", "und Bergturm. Das Ernte-", "garten Haus-", "Turm Ga1ten Hans l8l2 Starlt Tvrm", "im Dcr¬", "Turm Stadtturm Stacltturm"]
+    rows = [("raw_docs", 1, "de", "keyed", None, None, typed), ("raw_docs", 2, "de", "ocr", "A_B_Der-alte-Garten_1800", None, "\n".join(page * 4)), ("reviews", 2, None, None, None, None, typed.replace("Turm", "Tnrm", 1)), ("reviews", 3, "en", "keyed", None, None, "A house. " * 9 + "\n17\nA honse.")]
     df = spark.createDataFrame(rows, "src_table string, item_key bigint, lang string, origin string, name string, journal string, text string")
-    whole = sorted(map(tuple, scans.line_problems(df).collect()))
-    monkeypatch.setattr(scans, "LANGUAGES", 2)
-    assert sorted(map(tuple, scans.line_problems(df).collect())) == whole and len(whole) == 4
+    whole, pieces_ = sorted(map(tuple, scans.line_problems(df).collect())), sorted(map(tuple, scans.repaired(df).collect()))
+    assert {r[3] for r in whole} == {"furniture", "hyphen", "misread"}
+    for most in (0, 4):
+        monkeypatch.setattr(scans, "KNOWN_WORDS", most)
+        assert sorted(map(tuple, scans.line_problems(df).collect())) == whole
+    assert sorted(map(tuple, scans.repaired(df).collect())) == pieces_
+
+
+def test_large_model_is_joined_with_what_texts_ask(spark, monkeypatch):
+    body = "Kapitel 1\n\n" + " ".join(f"Das Haus Nr. {i} sah Dr. Stoll{'abcdefgh'[i % 8]}er usw. Es blieb da. Der Turm z. B. war so lange." for i in range(60)) + "\nKapitel 2\n\nEnde gut."
+    rows = [("reviews", i, lang, t) for i, (lang, t) in enumerate([("de", body), (None, body[:900]), ("en", "Mr. Smith saw it. He left."), ("th", "กขค งจฉ"), ("de", "")])]
+    texts = spark.createDataFrame(rows, "src_table string, item_key bigint, lang string, text string")
+    whole = sorted(map(tuple, sentences.sentences(texts, texts).collect()))
+    monkeypatch.setattr(sentences, "MODEL_ROWS", 3)
+    assert sorted(map(tuple, sentences.sentences(texts, texts).collect())) == whole and len(whole) > 10
 
 
 def test_abbreviation_before_abbreviation():
