@@ -237,3 +237,32 @@ def test_overlap_of_many_vectors(spark):
         near = np.argsort(np.sqrt(((x - x[g == name].mean(axis=0)) ** 2).sum(axis=1)), kind="stable")[: (g == name).sum()]
         want[name] = float((g[near] != name).mean())
     assert {r.g: r.overlap_score for r in geometry.overlap(df, "g", "k", "v").collect()} == want
+
+
+def test_learners_fit_what_is_not_linear():
+    import numpy as np
+
+    from scriptorium.operators import learners
+
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((400, 3))
+    circle, three = ((x[:, 0] ** 2 + x[:, 1] ** 2) > 1.4).astype(float), np.digitize(x[:, 0] * x[:, 1], [-0.3, 0.3]).astype(float)
+    curve = np.sin(2 * x[:, 0]) + 0.3 * x[:, 1]
+    for make in (lambda k: learners.KernelMachine(k, 10.0, 0.01), lambda k: learners.BoostedTrees(k, 4, 0.1, 0.75)):
+        for kind, y in (("binary", circle), ("multiclass", three), ("regression", curve)):
+            got = learners.scores(kind, y[300:], make(kind).fit(x[:300], y[:300]).predict(x[300:]))
+            assert (got["corr"] if kind == "regression" else got["f1_macro"]) > 0.7
+    one = learners.BoostedTrees("binary", 2, 0.1, 1.0).fit(x[:5], np.ones(5)).predict(x[:3])
+    assert one.tolist() == [1.0] * 3
+    assert learners.scores("regression", np.ones(4), np.ones(4)) == {"corr": None, "corr_pvalue": None}
+
+
+def test_nested_in_tasks_and_by_spark(spark, monkeypatch):
+    rows = [(i, f"g{i % 12}", i % 2, float(i % 2) + (i % 7) / 10, float(i % 5)) for i in range(120)]
+    df = spark.createDataFrame(rows, "k int, g string, y int, a double, b double")
+    pred, results = models.nested(df, "k", "g", ["a", "b"], "binary", outer=2, inner=2, testing=True)
+    assert pred.count() == 120 and results.count() == 2 * 2 * 2
+    assert pred.where("y = prediction").count() > 100
+    monkeypatch.setattr(models, "ONE_TASK", 0)
+    pred, results = models.nested(df, "k", "g", ["a", "b"], "binary", outer=2, inner=2, testing=True)
+    assert pred.count() == 120 and results.count() == 2 * 2 * 2
