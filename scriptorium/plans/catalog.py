@@ -214,7 +214,7 @@ for _n, _name in ((2, "bigram"), (3, "trigram")):
     )
 
 _TAGS = f"{sq.TOKENS}, tg as (select doc_id, chunk_id, list_transform(toks, lambda s: list_transform(s, lambda w: {sq.tag('w')})) as tags from tk)"
-_SHARES = "c as (select doc_id, chunk_id, gram, count(*) as cnt from q group by all), top as (select gram, sum(cnt) as n from c group by gram order by n desc, gram limit 20) select doc_id, chunk_id, gram, round(cnt::double / sum(cnt) over (partition by doc_id, chunk_id), 6) as share from c semi join top using (gram)"
+_SHARES = "c as (select doc_id, chunk_id, gram, count(*) as cnt from q group by all), top as (select gram, sum(cnt) as n from c group by gram order by n desc, gram limit 100) select doc_id, chunk_id, gram, round(cnt::double / sum(cnt) over (partition by doc_id, chunk_id), 6) as share from c semi join top using (gram)"
 
 
 def _tagged(spark, d):
@@ -223,7 +223,7 @@ def _tagged(spark, d):
 
 def _tag_query(n: int, name: str):
     def f(spark, d):
-        return r6(ngrams.selected_shares(corpus.tag_counts(_tagged(spark, d), KEYS, n), KEYS, 20), "share")
+        return r6(ngrams.selected_shares(corpus.tag_counts(_tagged(spark, d), KEYS, n), KEYS, 100), "share")
 
     f.__name__ = f"pos_{name}_distribution"
     if n == 1:
@@ -243,7 +243,7 @@ for _n, _name in ((1, "unigram"), (2, "bigram"), (3, "trigram")):
 q as (select doc_id, chunk_id, unnest(flatten(list_transform(ls, lambda s: list_concat(list_transform(regexp_extract_all(s, '(?:DET )?(?:ADJ )*(?:NOUN )+'), lambda p: 'NP->' || replace(trim(p), ' ', '_')),
 ['S->' || replace(trim(regexp_replace(s, '(?:DET )?(?:ADJ )*(?:NOUN )+', 'NP ', 'g')), ' ', '_')])))) as gram from l), {_SHARES}""")
 def production_distribution(spark, d):
-    return r6(ngrams.selected_shares(corpus.production_counts(_tagged(spark, d), KEYS), KEYS, 20), "share")
+    return r6(ngrams.selected_shares(corpus.production_counts(_tagged(spark, d), KEYS), KEYS, 100), "share")
 
 
 # Geometry of embeddings
@@ -301,14 +301,39 @@ b4 as (select doc_id, length({sq.transliterated("array_to_string(sentences, ' ')
 bt as (select * from b4 left join b3 using (doc_id))"""
 
 
-@query(f"with {_FT} select doc_id, chunk_id, text_length_chunk, round(unigram_entropy_chunk, 6) as unigram_entropy_chunk from ct")
+#: Queries that make the feature groups of a chunk, in the order of the registry, and their features.
+_GROUPS_OF = {
+    "char_ratios": ["ratio_of_punctuation_marks", "ratio_of_digits", "ratio_of_whitespaces", "ratio_of_exclamation_marks", "ratio_of_question_marks", "ratio_of_commas", "ratio_of_uppercase_letters", "text_length"],
+    "sentence_lengths": ["average_number_of_words_in_sentence", "maximum_number_of_words_in_sentence", "average_paragraph_length"],
+    "unigram_entropy": ["types", "tokens", "type_token_ratio", "average_word_length", "unigram_entropy"],
+    "ratio_of_unique_bigrams": ["ratio_of_unique_bigrams"], "ratio_of_unique_trigrams": ["ratio_of_unique_trigrams"], "bigram_entropy": ["bigram_entropy"], "trigram_entropy": ["trigram_entropy"],
+    "readability": ["flesch_reading_ease_score", "gunning_fog"],
+}
+_WHOLE_TEXT = f"{sq.DOCS}, chunks as (select doc_id, lang, genre, 0::int as chunk_id, sentences from d0 where len(sentences) > 0)"
+
+
+def _all_features_sql(suffix: str, whole: bool) -> str:
+    """The SQL of all groups side by side, over chunks or whole texts."""
+    part = {n: ORACLE[n].replace(sq.CHUNKS, _WHOLE_TEXT) if whole else ORACLE[n] for n in _GROUPS_OF}
+    columns = ", ".join(f"{n}.{c} as {c}{suffix}" for n, cs in _GROUPS_OF.items() for c in cs)
+    base = f"(with {_WHOLE_TEXT if whole else sq.CHUNKS} select doc_id, chunk_id from chunks)"
+    joins = " ".join(f"left join ({q}) {n} on {n}.doc_id = b.doc_id and {n}.chunk_id = b.chunk_id" for n, q in part.items())
+    return f"select b.doc_id, {'' if whole else 'b.chunk_id, '}{columns} from {base} b {joins}"
+
+
+def _rounded_features(df: DataFrame) -> DataFrame:
+    return r6(df, *(f.name for f in df.schema if f.dataType.typeName() == "double"))
+
+
+@query(_all_features_sql("_chunk", False))
 def chunk_features(spark, d):
-    return r6(_chunk_table(spark, d).select("doc_id", "chunk_id", "text_length_chunk", "unigram_entropy_chunk"), "unigram_entropy_chunk")
+    return _rounded_features(features.suffixed(stylometry.all_features(doc_chunks(spark, d), KEYS), ["doc_id", "chunk_id"], "_chunk"))
 
 
-@query(f"with {_FT} select doc_id, text_length_fulltext, round(unigram_entropy_fulltext, 6) as unigram_entropy_fulltext from bt")
+@query(_all_features_sql("_fulltext", True))
 def book_features(spark, d):
-    return r6(_book_table(spark, d).select("doc_id", "text_length_fulltext", "unigram_entropy_fulltext"), "unigram_entropy_fulltext")
+    whole = chunks.chunk_rows(docs(spark, d), KEYS, None)
+    return _rounded_features(features.suffixed(stylometry.all_features(whole, KEYS).drop("chunk_id"), KEYS, "_fulltext"))
 
 
 @query(f"""with {_FT}, m as (select doc_id, avg(text_length_chunk) as text_length_chunk, avg(unigram_entropy_chunk) as unigram_entropy_chunk from ct group by doc_id)
@@ -740,7 +765,8 @@ def upsampled_rows(spark, d):
 
 @query()
 def nested_cv(spark, d):
-    f = _book_table(spark, d).join(docs(spark, d).select("doc_id", "source", F.when(F.col("genre") == "review", 1).otherwise(0).alias("y")), "doc_id").where("source is not null").na.drop()
+    whole = chunks.chunk_rows(docs(spark, d), KEYS, None)
+    f = features.suffixed(stylometry.all_features(whole, KEYS).drop("chunk_id"), KEYS, "_fulltext").join(docs(spark, d).select("doc_id", "source", F.when(F.col("genre") == "review", 1).otherwise(0).alias("y")), "doc_id").where("source is not null").na.drop()
     columns = [c for c in f.columns if c.endswith("_fulltext")]
     pred, _ = models.nested(f, "doc_id", "source", columns, "binary")
     return pred

@@ -22,13 +22,13 @@ def vectors(df: DataFrame, path: str) -> None:
 
 def features(df: DataFrame, path: str, key: str = "file_name") -> None:
     """A feature table sorted by key, nulls first, in comma-separated files with header."""
-    df.orderBy(F.asc_nulls_first(key)).write.mode("overwrite").csv(path, header=True)
+    df.orderBy(F.asc_nulls_first(key)).write.mode("overwrite").csv(path, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, header=True)
 
 
 def results(df: DataFrame, path: str, first: dict[str, object] | None = None, sep: str = ",", null: str = "NaN", append: bool = False) -> None:
     """Result rows with constant columns put in front."""
     out = df.select(*(F.lit(v).alias(k) for k, v in (first or {}).items()), *df.columns)
-    out.write.mode("append" if append else "overwrite").csv(path, header=True, sep=sep, nullValue=null)
+    out.write.mode("append" if append else "overwrite").csv(path, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, header=True, sep=sep, nullValue=null)
 
 
 def predictions(df: DataFrame, path: str) -> None:
@@ -37,7 +37,7 @@ def predictions(df: DataFrame, path: str) -> None:
 
 
 def classes(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").csv(path, header=True, sep=";")
+    df.write.mode("overwrite").csv(path, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, header=True, sep=";")
 
 
 def model(fitted, path: str) -> None:
