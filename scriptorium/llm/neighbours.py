@@ -336,8 +336,28 @@ def nearest_pairs(vectors: DataFrame, k: int = K) -> DataFrame:
     return pairs.select("vec_field", F.least("key", "other").alias("key_a"), F.greatest("key", "other").alias("key_b")).distinct()
 
 
-#: Nodes of a leaf at which a search starts, and candidates it keeps.
-ENTRIES, BEAM = 3, 24
+#: Nodes of a leaf that a search compares first, at most, so that of a leaf that isn't full all are; candidates it keeps; and
+#: queries of a leaf in one task.
+ENTRIES, BEAM, ASKED = FULL, 40, 10_000
+
+
+def _doors(nodes: pa.Table, queries: pa.Table) -> pa.Table:
+    """The BEAM nodes of a leaf nearest to each query that falls into it."""
+    schema = pa.schema([("field", pa.string()), ("q", pa.int64()), ("other", pa.int64()), ("d", pa.float64()), ("done", pa.bool_())])
+    if not nodes.num_rows or not queries.num_rows:
+        return schema.empty_table()
+    x, y = (np.frombuffer(b"".join(t.column("vec").to_pylist()), np.float32).reshape(t.num_rows, -1).astype(np.float64) for t in (nodes, queries))
+    keys, q, out = nodes.column("key").to_numpy(), queries.column("q").to_numpy(), []
+    k = min(BEAM, len(x))
+    for a in range(0, len(y), 256):
+        part = y[a : a + 256]
+        d = (part * part).sum(axis=1)[:, None] + (x * x).sum(axis=1)[None] - 2 * (part @ x.T)
+        near = np.argpartition(d, k - 1, axis=1)[:, :k] if k < len(x) else np.argsort(d, axis=1)
+        exact = ((part[:, None, :] - x[near]) ** 2).sum(axis=2)
+        out.append((np.repeat(q[a : a + 256], k), keys[near].ravel(), exact.ravel()))
+    q, other, d = (np.concatenate(c) for c in zip(*out))
+    field = pa.array([nodes.column("field")[0].as_py()] * len(q), pa.string())
+    return pa.Table.from_arrays([field, pa.array(q), pa.array(other), pa.array(d), pa.array([False] * len(q), pa.bool_())], schema=schema)
 
 
 def _to_queries(pairs: DataFrame, nodes: DataFrame, queries: DataFrame) -> DataFrame:
@@ -355,17 +375,25 @@ def _to_queries(pairs: DataFrame, nodes: DataFrame, queries: DataFrame) -> DataF
 
 
 def search(index: tuple[DataFrame, DataFrame, dict], queries: DataFrame, k: int = K) -> DataFrame:
-    """(field, q, other, d), the field with the length: for each query vector (field, key, vec) the k nearest nodes of ``neighbour_graph`` that a greedy
-    walk finds: from a few nodes of the query's leaves to neighbours, always keeping the BEAM nearest, until all of those
-    have passed on their neighbours. A step is a join for all queries at once."""
+    """(field, q, other, d), the field with the length: for each query vector (field, key, vec) the k nearest nodes of
+    ``neighbour_graph`` that a greedy walk finds: from the nearest nodes of the query's leaves over the graph's edges in both
+    directions, always keeping the BEAM nearest, until all of those have passed on their neighbours. A step is a join for
+    all queries at once."""
     nodes, graph, trees = index
     placed = materialize(_with_leaves(_by_length(queries).dropDuplicates(["field", "key"]), queries.sparkSession.sparkContext.broadcast(trees)), "queries")
-    order = Window.partitionBy("field", "leaf").orderBy("key")
-    ranked = nodes.select("field", "key", F.explode("tops").alias("leaf")).withColumn("r", F.row_number().over(order)).where(F.col("r") <= ENTRIES)
-    doors = ranked.groupBy("field", "leaf").agg(F.collect_list("key").alias("doors"))
-    first = placed.select("field", F.col("key").alias("q"), F.explode("leaves").alias("leaf")).join(doors, ["field", "leaf"]).select("field", "q", F.explode("doors").alias("other")).distinct()
-    near = graph.select("field", F.col("key").alias("at"), F.explode("near.other").alias("other"))
-    state = materialize(_to_queries(first, nodes, placed), "search")
+    asked = placed.select("field", F.col("key").alias("q"), "vec", F.explode("leaves").alias("leaf"))
+    parts = F.ceil(F.count(F.lit(1)) / ASKED).cast("bigint").alias("parts")
+    per_leaf = materialize(asked.groupBy("field", "leaf").agg(parts), "asked")
+    order = Window.partitionBy("field", "leaf").orderBy(F.xxhash64("key"), "key")
+    doors = nodes.select("field", "key", "vec", F.explode("tops").alias("leaf")).join(per_leaf, ["field", "leaf"]).withColumn("r", F.row_number().over(order)).where(F.col("r") <= ENTRIES)
+    doors = doors.select("field", "leaf", "key", "vec", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"))
+    asked = asked.join(per_leaf, ["field", "leaf"]).withColumn("part", F.pmod(F.xxhash64("q"), F.col("parts")))
+    first = doors.groupBy("field", "leaf", "part").cogroup(asked.groupBy("field", "leaf", "part")).applyInArrow(_doors, "field string, q bigint, other bigint, d double, done boolean")
+    edges = _edges(graph)
+    back = edges.select("field", F.col("other").alias("at"), F.col("key").alias("other"), "d")
+    back = back.withColumn("r", F.row_number().over(Window.partitionBy("field", "at").orderBy("d", "other"))).where(F.col("r") <= REVERSE)
+    near = materialize(edges.select("field", F.col("key").alias("at"), "other").union(back.select("field", "at", "other")).distinct(), "ways")
+    state = materialize(first.distinct(), "search")
     entry = F.struct("d", "other", "done")
     while True:  # the kept candidates get nearer in each step or end the walk
         best = materialize(state.groupBy("field", "q").agg(F.slice(F.array_sort(F.collect_list(entry)), 1, BEAM).alias("b")).select("field", "q", F.explode("b").alias("e")).select("field", "q", "e.other", "e.d", "e.done"), "search")
