@@ -102,3 +102,73 @@ def test_shares_of_each_label(spark, monkeypatch):
     assert deviation() <= 4
     monkeypatch.setattr(splits, "VECTORS", 10)
     assert deviation() <= 40  # of 330 books of a label, which chance divides
+
+
+def one_by_one(units, plan):
+    """Each component placed for itself: the rarest outstanding label first, into the split that needs it most."""
+    total = Counter()
+    for _, _, v in units:
+        total.update(v)
+    need = {(s, x): share * total[x] for s, share in plan for x in total}
+    open_all = {s: share * sum(total.values()) for s, share in plan}
+    waiting, out = {k: (m, v) for k, m, v in units}, {}
+    while waiting:
+        left = Counter()
+        for _, v in waiting.values():
+            left.update(v)
+        x = min(left, key=lambda y: (left[y], y))
+        for k in sorted((k for k, (_, v) in waiting.items() if x in v), key=lambda k: (-waiting[k][1][x] // waiting[k][0], -sum(waiting[k][1].values()) // waiting[k][0], k)):
+            m, v = waiting.pop(k)
+            out[k] = Counter()
+            for _ in range(m):
+                s = max((s for s, _ in plan), key=lambda s: (need[s, x], open_all[s], s))
+                out[k][s] += 1
+                open_all[s] -= sum(v.values()) // m
+                for y in v:
+                    need[s, y] -= v[y] // m
+    return {k: {s: n for s, n in c.items() if n} for k, c in out.items()}
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(1, 3000), st.dictionaries(st.integers(-1, 5), st.integers(1, 130), min_size=1)), min_size=1, max_size=12))
+def test_many_components_of_a_vector_are_placed_one_by_one(vectors):
+    plan = [("test", 0.125), ("train", 0.75), ("validation", 0.125)]
+    units = [(str(k), m, {x: m * n for x, n in v.items()}) for k, (m, v) in enumerate(vectors)]
+    got = {k: {s: sum(n for t, n in runs if t == s) for s, _ in runs} for k, runs in splits._place(units, plan).items()}
+    assert got == one_by_one(units, plan)
+
+
+def test_splits_do_not_depend_on_bounds(spark, monkeypatch):
+    """Many different vectors, counts over 99 that differ in the last digit, and vectors that go through several batches."""
+    rows, i = [], 0
+    for author in range(1500):
+        for label in range(1 + author % 3):
+            for _ in range(1 + (author * 7 + label * 13) % 11 if author > 3 else 101 + author):
+                i += 1
+                rows.append((i, f"A{author}_B_T_{i}", 1600 + 25 * ((author * (label + 3)) % 16), None, None))
+    grouped = splits.grouped_books(spark.createDataFrame(rows, SCHEMA)).cache()
+    plan = [("test", 0.125), ("train", 0.75), ("validation", 0.125)]
+    wanted = spark.createDataFrame(plan, "split_name string, share double")
+
+    def got():
+        return sorted(map(tuple, splits.grouped_splits(grouped, wanted).collect()))
+
+    whole = got()
+    assert len(whole) == len(rows)
+    vectors = {}
+    for i, group, s in whole:
+        vectors.setdefault((group, s), Counter())[(rows[i - 1][2] - 1600) // 25] += 1
+    found = {}
+    for (_, s), v in vectors.items():
+        found.setdefault(" ".join(f"{x}:{n}" for x, n in sorted(v.items())), Counter())[s] += 1
+    units = [(k, c.total(), {int(x): c.total() * int(n) for x, n in (p.split(":") for p in k.split(" "))}) for k, c in found.items()]
+    assert len(units) > 100 and {k: dict(c) for k, c in found.items()} == one_by_one(units, plan)
+    monkeypatch.setattr(splits, "VECTORS", 10)
+    assert got() == whole
+    monkeypatch.setattr(splits, "RANKED", 100)
+    assert got() == whole
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        assert got() == whole
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
