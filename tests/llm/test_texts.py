@@ -333,3 +333,13 @@ def test_line_model_sees_whole_texts(spark, monkeypatch):
     df = spark.createDataFrame([("raw_docs", 1, "de", "ocr", None, None, page)], "src_table string, item_key bigint, lang string, origin string, name string, journal string, text string")
     scans.line_problems(df).collect()
     assert sizes == [900]
+
+
+def test_words_of_texts_without_period_count(spark):
+    """A word that mostly stands without period is no abbreviation, also if it does so in texts that hold no period."""
+    body = " ".join("Er sah das Haus wg. Regen und blieb im Garten." for _ in range(20))
+    rows = [("de", body)] + [("de", "Das wg Haus und der wg Garten!")] * 60
+    found = {r.a for r in sentences.learn(spark.createDataFrame(rows[:1], "lang string, text string")).where("kind = 'A'").collect()}
+    assert "wg" in found
+    found = {r.a for r in sentences.learn(spark.createDataFrame(rows, "lang string, text string")).where("kind = 'A'").collect()}
+    assert "wg" not in found
