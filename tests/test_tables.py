@@ -266,3 +266,29 @@ def test_nested_in_tasks_and_by_spark(spark, monkeypatch):
     monkeypatch.setattr(models, "ONE_TASK", 0)
     pred, results = models.nested(df, "k", "g", ["a", "b"], "binary", outer=2, inner=2, testing=True)
     assert pred.count() == 120 and results.count() == 2 * 2 * 2
+
+
+def test_nested_is_the_same_at_any_size(spark, monkeypatch):
+    rows = [(i, f"g{i % 12}", i % 2, float(i % 2) + (i % 7) / 3, float(i * i % 5)) for i in range(120)]
+    df = spark.createDataFrame(rows, "k int, g string, y int, a double, b double")
+    got = []
+    for numbers in (models.ONE_TASK, 500, 0):  # a table of 600 numbers
+        monkeypatch.setattr(models, "ONE_TASK", numbers)
+        pred, results = models.nested(df, "k", "g", ["a", "b"], "binary", outer=2, inner=2, testing=True)
+        got.append((sorted(map(tuple, pred.collect())), sorted(map(str, results.collect()))))
+    assert got[0] == got[1] == got[2] and len(got[0][0]) == 120
+
+
+def test_kernel_machine_needs_no_kernel_matrix(monkeypatch):
+    import tracemalloc
+
+    import numpy as np
+
+    from scriptorium.operators import learners
+
+    x = np.random.default_rng(5).standard_normal((2_000, 3))
+    tracemalloc.start()
+    got = learners.KernelMachine("binary", 0.1, keep=0).fit(x, (x[:, 0] > 0).astype(float)).predict(x)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20_000_000 < 8 * 2_000 * 2_000 and ((x[:, 0] > 0) == got).mean() > 0.95
