@@ -16,9 +16,10 @@ alike; a name without second part is all surname; repeated names count once.
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,6 +33,12 @@ COSINE, LINKAGE, AGREES = 0.3, 0.3, 0.45
 GRAM = 3
 #: Names with a gram that one task joins with the others of that gram.
 BLOCK = 5_000
+#: Different grams up to which their numbers of names are sent to the executors; with more, vectors are joined, with the same result.
+GRAMS = 1_000_000
+#: Decimals of a cosine, so that the order of a sum doesn't count.
+DIGITS = 12
+#: What rounding may take from a bound, and names whose vectors a task keeps.
+SLACK, KNOWN = 1e-9, 50_000
 #: Initials that are written for one another.
 INITIALS = {"i": "j", "y": "j", "k": "c", "q": "c", "v": "f", "w": "f", "p": "b", "t": "d", "z": "s"}
 
@@ -243,7 +250,7 @@ def alike_pairs(vectors: DataFrame, least: float = COSINE, rules: bool = True) -
     slim = lists.select("name", F.map_from_arrays(F.transform("grams", lambda g: g["gram"]), F.transform("grams", lambda g: g["weight"])).alias("m"))
     joined = pairs.join(slim.select(F.col("name").alias("a"), F.col("m").alias("ma")), "a").join(slim.select(F.col("name").alias("b"), F.col("m").alias("mb")), "b")
     dot = F.aggregate(F.map_entries("ma"), F.lit(0.0), lambda s, e: s + e["value"] * F.coalesce(F.element_at(F.col("mb"), e["key"]), F.lit(0.0)))
-    near = joined.select("a", "b", dot.alias("sim")).where(F.col("sim") >= least)
+    near = joined.select("a", "b", F.round(dot, DIGITS).alias("sim")).where(F.col("sim") >= least)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -252,6 +259,85 @@ def alike_pairs(vectors: DataFrame, least: float = COSINE, rules: bool = True) -
     return near.mapInArrow(run, "a string, b string, sim double") if rules else near
 
 
+def near_names(names: DataFrame, least: float = COSINE, rules: bool = True) -> DataFrame:
+    """``alike_pairs`` of plain names (name). The numbers of names with a gram go to the executors, where a name's vector is worked
+    out from the name: what is shuffled is one entry for each gram that must be compared, and pairs that pass."""
+
+    def only_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([g for p in batch.column(0).to_pylist() for g in name_grams(p)], pa.string())], names=["gram"])
+
+    rarity = materialize(names.select("name").mapInArrow(only_grams, "gram string").groupBy("gram").agg(F.count(F.lit(1)).alias("df")), "grams")
+    if rarity.count() > GRAMS:
+        discard(rarity)
+        return alike_pairs(gram_vectors(names), least, rules)
+    told = rarity.toArrow()
+    shared = names.sparkSession.sparkContext.broadcast((names.count(), told["gram"].combine_chunks(), told["df"].combine_chunks()))
+    discard(rarity)
+
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vector = _vectors(shared.value)
+        for batch in batches:
+            out = []
+            for p in batch.column(0).to_pylist():
+                left = [0.0]  # square of the length of what follows
+                grams = vector(p)
+                for _, _, w in reversed(grams):
+                    left.append(left[-1] + w * w)
+                left.reverse()
+                out += [(p, g, -(-df // BLOCK), w, math.sqrt(left[k + 1])) for k, (df, g, w) in enumerate(grams) if left[k] >= least * least - SLACK]
+            cols = list(zip(*out)) or [[]] * 5
+            types = (pa.string(), pa.string(), pa.int32(), pa.float64(), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["name", "gram", "blocks", "w", "rest"])
+
+    found = names.select("name").mapInArrow(entries, "name string, gram string, blocks int, w double, rest double")
+    # a gram's names meet by pairs of blocks; both sides of the join are the same rows, which are shuffled once
+    own = F.pmod(F.xxhash64("name"), F.col("blocks")).cast("int")
+    found = found.select("name", "gram", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"), "w", "rest")
+    found = found.select("name", "gram", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "w", "rest")
+    # the rows are few and their pairs many: more tasks than the rows' bytes ask for
+    spark = names.sparkSession
+    found = found.repartition(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "gram", "i", "j")
+    # from the first gram that two names share on, all they share is in the rests
+    most = F.col("x.w") * F.col("y.w") + F.col("x.rest") * F.col("y.rest")
+    met = found.alias("x").join(found.alias("y"), ["gram", "i", "j"]).where((F.col("x.name") < F.col("y.name")) & (most >= least - SLACK)).select(F.col("x.name").alias("a"), F.col("y.name").alias("b"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vector, known, sides = _vectors(shared.value), {}, {}
+        for batch in batches:
+            out = []
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for kept in (known, sides):
+                    if len(kept) >= KNOWN:
+                        kept.clear()
+                if a not in known:
+                    known[a] = vector(a)
+                if b not in sides:
+                    sides[b] = {g: w for _, g, w in vector(b)}
+                other = sides[b]
+                sim = round(sum([w * other[g] for _, g, w in known[a] if g in other]), DIGITS)
+                if sim >= least and (not rules or likeness(a, b) >= AGREES):
+                    out.append((a, b, sim))
+            cols = list(zip(*out)) or [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.float64()))], names=["a", "b", "sim"])
+
+    return met.mapInArrow(run, "a string, b string, sim double").distinct()
+
+
+def _vectors(told: tuple) -> Callable[[str], list[tuple[int, str, float]]]:
+    """The function of a plain name that gives its (df, gram, weight), rarest first, from (names, grams, their df)."""
+    total, grams, dfs = told
+    df = dict(zip(grams.to_pylist(), dfs.to_pylist()))
+
+    def vector(name: str) -> list[tuple[int, str, float]]:
+        found = sorted((df[g], g) for g in name_grams(name))
+        idf = [math.log(1 + total / n) for n, _ in found]
+        norm = math.sqrt(sum(x * x for x in idf))
+        return [(n, g, x / norm) for (n, g), x in zip(found, idf)]
+
+    return vector
+
+
 def average_linkage(pairs: DataFrame, least: float = LINKAGE) -> DataFrame:
     """(name, cluster): average-linkage clusters of the pairs (a, b, sim), pairs that are missing being 0 alike. Each round
     merges all clusters that are each other's best partner; since average linkage never raises a likeness by a merger,
@@ -286,7 +372,7 @@ def variant_clusters(table: DataFrame, file_name: str = "file_name", rules: bool
     spelt = F.pandas_udf(lambda s: s.map(plain), "string")
     names = materialize(table.select(name.alias("name")).where("name <> '' and name <> '_'").distinct().withColumn("plain", spelt("name")), "names")
     nodes = names.select(F.col("plain").alias("name")).distinct()
-    found = average_linkage(materialize(alike_pairs(gram_vectors(nodes), rules=rules), "name-pairs")).withColumnRenamed("name", "plain")
+    found = average_linkage(materialize(near_names(nodes, rules=rules), "name-pairs")).withColumnRenamed("name", "plain")
     placed = names.join(found, "plain", "left").select("name", F.coalesce("cluster", "plain").alias("cluster"))
     several = placed.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("cluster")
     return placed.join(several, "cluster", "left_semi").select("name", "cluster")

@@ -76,3 +76,18 @@ def test_average_linkage_of_many_spellings(spark):
     pairs = spark.createDataFrame([(a, b, 0.9 if a == "n00" else 0.75) for i, a in enumerate(some) for b in some[i + 1 :]], "a string, b string, sim double")
     got = {r.name: r.cluster for r in names.average_linkage(pairs).collect()}
     assert set(got) == set(some) and len(set(got.values())) == 1
+
+
+def test_names_meet_without_shuffled_vectors(spark, monkeypatch):
+    some = ["Kimpevald_Eduard", "Kimpevalz_Eduard", "Kimpeval_E", "Stoltofer_Paul", "Stoltover_Paul", "Paul_Stoltofer", "Rampetner_Katharina", "Rampetner_Kaethe"]
+    nodes = spark.createDataFrame([(names.plain(n),) for n in some], "name string")
+    table = spark.createDataFrame([(f"{n}_Title_1800",) for n in some], "file_name string")
+    pairs = lambda: [sorted(map(tuple, names.near_names(nodes, rules=r).collect())) for r in (True, False)]
+    whole = pairs()
+    monkeypatch.setattr(names, "BLOCK", 1)
+    assert pairs() == whole and len(whole[0]) == 7
+    monkeypatch.setattr(names, "GRAMS", 0)
+    assert pairs() == whole
+    monkeypatch.setattr(names, "GRAMS", 1_000)
+    monkeypatch.setattr(names, "gram_vectors", None)  # not needed
+    assert names.variant_clusters(table).count() == 8
