@@ -292,3 +292,13 @@ def test_kernel_machine_needs_no_kernel_matrix(monkeypatch):
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 20_000_000 < 8 * 2_000 * 2_000 and ((x[:, 0] > 0) == got).mean() > 0.95
+
+
+def test_grams_of_a_length_are_counted_once(spark):
+    from scriptorium.operators import stylometry
+
+    df = spark.createDataFrame([(1, 0, ["The old garden.", "The old tower."]), (2, 0, ["?!?!"])], "doc_id int, chunk_id int, sentences array<string>")
+    got = stylometry.all_features(df, ["doc_id"])
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Generate explode") == 3
+    row = {r.doc_id: r for r in got.collect()}
+    assert (row[1].tokens, row[1].types, row[2].tokens) == (6, 4, None) and row[1].ratio_of_unique_bigrams == 7 / 9
